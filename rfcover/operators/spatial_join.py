@@ -129,8 +129,7 @@ def nearest_pairs(
     rest drop out first. Left rows of one tile spread over ``salts`` slots.
     """
     top = _tile_size(radius_m)
-    sizes = [top / 2**i for i in range(levels)]
-    fine = sizes[-1]
+    fine = top / 2 ** (levels - 1)
     la, lo = (F.col(c) for c in left_pos)
     ra, ro = (F.col(c) for c in right_pos)
     spot = Window.partitionBy(*right_pos).orderBy(right_id)
@@ -138,87 +137,80 @@ def nearest_pairs(
         right.withColumn("_rank", F.row_number().over(spot)).where(F.col("_rank") <= k).drop("_rank")
     )
 
-    def tiles_of(lat: Column, lng: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("lv"),
-                    _wrap(_tile(lng, d), d).alias("tx"),
-                    _tile(lat, d).alias("ty"),
-                )
-                for i, d in enumerate(sizes)
-            ]
-        )
+    # Tile edge per level: exact halves, so a fine tile's ancestors are shifts of it.
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_lv")
+    edge = F.lit(top) / F.pow(F.lit(2.0), F.col("_lv"))
+    around = F.pow(F.lit(2.0), F.col("_lv")) * round(360 / top)
+
+    def x_tile(lng: Column) -> Column:
+        return F.pmod(F.floor(lng / edge), around).cast("bigint")
+
+    def y_tile(lat: Column) -> Column:
+        return F.floor(lat / edge).cast("bigint")
 
     # Tiles that hold at least k right rows, per level.
     full = (
-        right.select(F.explode(tiles_of(ra, ro)).alias("t"))
-        .groupBy("t")
+        right.select(ra.alias("_a"), ro.alias("_o"), level)
+        .groupBy("_lv", x_tile(F.col("_o")).alias("_tx"), y_tile(F.col("_a")).alias("_ty"))
         .count()
         .where(F.col("count") >= k)
-        .select("t")
+        .drop("count")
     )
     # For every finest tile in use on the left: the finest full tile above it.
     fx, fy = _wrap(_tile(lo, fine), fine), _tile(la, fine)
     used = left.select(fx.alias("_fx"), fy.alias("_fy")).distinct()
-    above = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("lv"),
-                F.expr(f"_fx div {2 ** (levels - 1 - i)}").alias("tx"),
-                F.expr(f"cast(floor(_fy / {2 ** (levels - 1 - i)}) as bigint)").alias("ty"),
-            )
-            for i in range(levels)
-        ]
-    )
+    up = F.pow(F.lit(2.0), F.lit(levels - 1) - F.col("_lv"))
     choice = (
-        used.select("_fx", "_fy", F.explode(above).alias("t"))
-        .join(full, "t", "left_semi")
+        used.select("_fx", "_fy", level)
+        .withColumn("_tx", F.floor(F.col("_fx") / up).cast("bigint"))
+        .withColumn("_ty", F.floor(F.col("_fy") / up).cast("bigint"))
+        .join(full, ["_lv", "_tx", "_ty"], "left_semi")
         .groupBy("_fx", "_fy")
-        .agg(F.max("t").alias("t"))
+        .agg(F.max(F.struct("_lv", "_tx", "_ty")).alias("t"))
     )
     lhs = (
         left.withColumn("_fx", fx)
         .withColumn("_fy", fy)
         .join(choice, ["_fx", "_fy"], "left")
-        .withColumn("_lv", F.coalesce(F.col("t.lv"), F.lit(-1)))
-        .withColumn("_tx", F.coalesce(F.col("t.tx"), _wrap(_tile(lo, top), top)))
-        .withColumn("_ty", F.coalesce(F.col("t.ty"), _tile(la, top)))
+        .withColumn("_lv", F.coalesce(F.col("t._lv"), F.lit(-1)))
+        .withColumn("_tx", F.coalesce(F.col("t._tx"), _wrap(_tile(lo, top), top)))
+        .withColumn("_ty", F.coalesce(F.col("t._ty"), _tile(la, top)))
         .withColumn("_slot", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
         .drop("t", "_fx", "_fy")
     )
 
-    # Right rows go to every tile whose left rows may need them, at every level.
-    def reach_tiles(lv: int, d: float, reach_m: float) -> Column:
-        xs = _lng_tiles(ro, _lng_reach(ra, F.lit(reach_m)), d)
-        ys = _tile_range(ra, F.lit(reach_m / _M_PER_DEG + 1e-9), d, 90.0)
-        return F.flatten(
-            F.transform(
-                xs,
-                lambda x: F.transform(
-                    ys,
-                    lambda y: F.struct(
-                        F.lit(lv).alias("lv"), x.alias("tx"), y.alias("ty")
-                    ),
-                ),
-            )
+    # Right rows go to every tile whose left rows may need them: within the tile's
+    # diagonal, or within the radius where the left row found no full tile (-1).
+    diagonal = F.when(F.col("_lv") >= 0, edge).otherwise(F.lit(1e9)) * F.lit(
+        _M_PER_DEG * math.sqrt(2) * 1.000001
+    )
+    reach = F.least(diagonal, F.lit(float(radius_m)))
+    edge_of = F.when(F.col("_lv") >= 0, edge).otherwise(F.lit(top))
+    count_x = F.when(F.col("_lv") >= 0, around).otherwise(F.lit(round(360 / top)))
+    lng_reach = _lng_reach(ra, F.col("_reach"))
+    lat_reach = F.col("_reach") / F.lit(_M_PER_DEG) + 1e-9
+    first_x = F.floor((ro - lng_reach) / F.col("_edge"))
+    last_x = F.floor((ro + lng_reach) / F.col("_edge"))
+    placed = (
+        right.withColumn("_lv", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))))
+        .withColumn("_reach", reach)
+        .withColumn("_edge", edge_of)
+        .withColumn("_around", count_x.cast("bigint"))
+        .withColumn(
+            "_ty",
+            F.explode(
+                F.sequence(
+                    F.floor(F.greatest(ra - lat_reach, F.lit(-90.0)) / F.col("_edge")),
+                    F.floor(F.least(ra + lat_reach, F.lit(90.0)) / F.col("_edge")),
+                )
+            ),
         )
-
-    spots = [reach_tiles(-1, top, float(radius_m))]
-    for i, d in enumerate(sizes):
-        diagonal = d * _M_PER_DEG * math.sqrt(2) * 1.000001
-        spots.append(reach_tiles(i, d, min(diagonal, float(radius_m))))
-    wanted = choice.select(
-        F.col("t.lv").alias("_lv"), F.col("t.tx").alias("_tx"), F.col("t.ty").alias("_ty")
-    ).distinct()
-    placed = right.withColumn("_s", F.explode(F.concat(*spots))).select(
-        *[F.col(c) for c in right.columns],
-        F.col("_s.lv").alias("_lv"),
-        F.col("_s.tx").alias("_tx"),
-        F.col("_s.ty").alias("_ty"),
+        .withColumn("_x", F.explode(F.sequence(first_x, F.least(last_x, first_x + F.col("_around") - 1))))
+        .withColumn("_tx", F.pmod("_x", "_around"))
+        .drop("_reach", "_edge", "_around", "_x")
     )
-    needed = placed.where(F.col("_lv") >= 0).join(wanted, ["_lv", "_tx", "_ty"], "left_semi")
-    rhs = needed.unionByName(placed.where(F.col("_lv") < 0)).withColumn(
+    wanted = lhs.select("_lv", "_tx", "_ty").distinct()
+    rhs = placed.join(wanted, ["_lv", "_tx", "_ty"], "left_semi").withColumn(
         "_slot", F.explode(_slots(salts))
     )
     pairs = lhs.join(rhs, ["_lv", "_tx", "_ty", "_slot"]).withColumn(
