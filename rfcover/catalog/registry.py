@@ -71,9 +71,9 @@ def R(x: str, digits: int = 4) -> str:
 
 def hav(la1: str, lo1: str, la2: str, lo2: str, radius: str = "6371008.8e0") -> str:
     return (
-        f"(2 * {radius} * asin(least(1e0, sqrt("
+        f"(2 * {radius} * asin(sqrt("
         f"power(sin(radians(({la2}) - ({la1})) / 2), 2) + cos(radians({la1})) * cos(radians({la2}))"
-        f" * power(sin(radians(({lo2}) - ({lo1})) / 2), 2)))))"
+        f" * power(sin(radians(({lo2}) - ({lo1})) / 2), 2))))"
     )
 
 

@@ -17,12 +17,14 @@ M_PER_DEGREE = 111320.0  # compute window
 
 
 def haversine_m(lat1, lng1, lat2, lng2, radius_m: float = EARTH_RADIUS_M) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; NULL when a coordinate is missing."""
     lat1, lng1, lat2, lng2 = (col(v) for v in (lat1, lng1, lat2, lng2))
     h = square(F.sin(F.radians(lat2 - lat1) / 2)) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
     ) * square(F.sin(F.radians(lng2 - lng1) / 2))
-    return F.lit(2 * radius_m) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() skips NULLs, so missing input is kept out before it.
+    known = lat1.isNotNull() & lng1.isNotNull() & lat2.isNotNull() & lng2.isNotNull()
+    return F.when(known, F.lit(2 * radius_m) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 # ---- boxes -----------------------------------------------------------------

@@ -41,7 +41,8 @@ class LinkParams:
 
 
 def watts_to_dbm(watts) -> Column:
-    return F.log10(F.greatest(dbl(watts), F.lit(1e-9)) * 1000) * 10
+    w = dbl(watts)
+    return F.when(w.isNotNull(), F.log10(F.greatest(w, F.lit(1e-9)) * 1000) * 10)
 
 
 def dbm_to_watts(dbm) -> Column:
@@ -53,8 +54,9 @@ def wavelength_m(freq_mhz) -> Column:
 
 
 def fspl_db(distance_m, freq_mhz) -> Column:
-    d = F.greatest(dbl(distance_m), F.lit(1.0))
-    return F.log10(d) * 20 + F.log10(dbl(freq_mhz) * 1e6) * 20 + F.lit(_FSPL_CONST)
+    d = dbl(distance_m)
+    d = F.when(d > 1, F.log10(d)).when(d.isNotNull(), 0.0)
+    return d * 20 + F.log10(dbl(freq_mhz) * 1e6) * 20 + F.lit(_FSPL_CONST)
 
 
 def received_dbm(

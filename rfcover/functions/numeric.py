@@ -54,3 +54,17 @@ def number_text(x) -> Column:
     """A number as text: whole values without a decimal point."""
     v = dbl(x)
     return F.when(v == F.floor(v), int_text(v)).otherwise(v.cast("string"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A Column used twice in a formula is copied as a whole expression; long formulas
+    grow past what the optimizer can hold. A lambda variable is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def let_all(body, **values) -> Column:
+    """Bind several named values at once; ``body`` gets them as a struct."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
