@@ -35,20 +35,24 @@ def candidate_links(
     nearest: int | None = None,
     on=(),
     tile_m: float | None = None,
+    reach_m: float | None = None,
 ) -> DataFrame:
     """Cell-site pairs that can reach the floor in free space, with distances.
 
     Every other loss is zero or more, so no serving link is lost. ``nearest`` keeps a
     smaller set that still holds each cell's nearest sites: exact for links whose
-    level depends on distance alone.
+    level depends on distance alone within an ``on`` group. ``reach_m`` bounds the
+    range where link values are columns.
     """
     s = sites.withColumnRenamed("lat", "site_lat").withColumnRenamed("lng", "site_lng")
     reach = _range_of(link)
     if reach is not None:
         reach = max(reach, 1.0) * 1.0000001
-        if nearest and not on:
-            return nearest_pairs(cells, s, reach, k=nearest)
+        if nearest:
+            return nearest_pairs(cells, s, reach, k=nearest, on=on)
         return near_pairs(cells, s, reach, on=on, tile_m=tile_m)
+    if nearest and reach_m:
+        return nearest_pairs(cells, s, reach_m, k=nearest, on=on)
     radius = F.greatest(
         L.max_range_m(link.eirp_dbm, link.freq_mhz, link.rx_gain_dbi, link.floor_dbm), F.lit(1.0)
     ) * 1.0000001
@@ -65,6 +69,7 @@ def score_links(
     on=(),
     nearest: int | None = None,
     tile_m: float | None = None,
+    reach_m: float | None = None,
 ) -> DataFrame:
     """Received level of every in-range (cell, site).
 
@@ -79,7 +84,7 @@ def score_links(
         nearest = None
     if clutter_db:
         nearest = None
-    links = candidate_links(cells, sites, link, nearest=nearest, on=on, tile_m=tile_m)
+    links = candidate_links(cells, sites, link, nearest=nearest, on=on, tile_m=tile_m, reach_m=reach_m)
     if elevation is not None:
         links = diffraction_db(links, elevation, link, on=on)
     else:
@@ -131,6 +136,7 @@ def coverage_grid(
     by=("cell_id",),
     on=(),
     tile_m: float | None = None,
+    reach_m: float | None = None,
 ) -> DataFrame:
     """Class and best server of every cell; unserved cells keep NULLs.
 
@@ -142,7 +148,7 @@ def coverage_grid(
     need = list(dict.fromkeys([*by, *on, "lat", "lng", *([clutter_db] if clutter_db else [])]))
     links = score_links(
         scored.select(*need), sites, link, elevation=elevation, clutter_db=clutter_db,
-        on=on, nearest=2, tile_m=tile_m,
+        on=on, nearest=2, tile_m=tile_m, reach_m=reach_m,
     )
     best = best_server(links, link.floor_dbm, by=by)
     return cells.join(best, list(by), "left").withColumn(

@@ -32,6 +32,9 @@ def _wrap(x: Column, deg: float) -> Column:
     return F.pmod(x, F.lit(round(360 / deg)).cast("bigint"))
 
 
+HALF_EARTH_M = EARTH_RADIUS_M * math.pi  # no two points are farther apart
+
+
 def _slots(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
@@ -115,6 +118,7 @@ def nearest_pairs(
     left_pos=("lat", "lng"),
     right_pos=("site_lat", "site_lng"),
     right_id: str = "site_id",
+    on=(),
     levels: int = 10,
     salts: int = 4,
     distance: str = "distance_m",
@@ -126,13 +130,15 @@ def nearest_pairs(
     no farther than the tile's diagonal, so right rows within that diagonal suffice.
     Where no tile holds k, the whole radius is searched. Of right rows on one spot
     only the k lowest ids can be among the nearest (ties go to the lower id), so the
-    rest drop out first. Left rows of one tile spread over ``salts`` slots.
+    rest drop out first. Left rows of one tile spread over ``salts`` slots. ``on``
+    names group columns that must be equal.
     """
     top = _tile_size(radius_m)
     fine = top / 2 ** (levels - 1)
     la, lo = (F.col(c) for c in left_pos)
     ra, ro = (F.col(c) for c in right_pos)
-    spot = Window.partitionBy(*right_pos).orderBy(right_id)
+    on = list(on)
+    spot = Window.partitionBy(*on, *right_pos).orderBy(right_id)
     right = (
         right.withColumn("_rank", F.row_number().over(spot)).where(F.col("_rank") <= k).drop("_rank")
     )
@@ -150,28 +156,28 @@ def nearest_pairs(
 
     # Tiles that hold at least k right rows, per level.
     full = (
-        right.select(ra.alias("_a"), ro.alias("_o"), level)
-        .groupBy("_lv", x_tile(F.col("_o")).alias("_tx"), y_tile(F.col("_a")).alias("_ty"))
+        right.select(*on, ra.alias("_a"), ro.alias("_o"), level)
+        .groupBy(*on, "_lv", x_tile(F.col("_o")).alias("_tx"), y_tile(F.col("_a")).alias("_ty"))
         .count()
         .where(F.col("count") >= k)
         .drop("count")
     )
     # For every finest tile in use on the left: the finest full tile above it.
     fx, fy = _wrap(_tile(lo, fine), fine), _tile(la, fine)
-    used = left.select(fx.alias("_fx"), fy.alias("_fy")).distinct()
+    used = left.select(*on, fx.alias("_fx"), fy.alias("_fy")).distinct()
     up = F.pow(F.lit(2.0), F.lit(levels - 1) - F.col("_lv"))
     choice = (
-        used.select("_fx", "_fy", level)
+        used.select(*on, "_fx", "_fy", level)
         .withColumn("_tx", F.floor(F.col("_fx") / up).cast("bigint"))
         .withColumn("_ty", F.floor(F.col("_fy") / up).cast("bigint"))
-        .join(full, ["_lv", "_tx", "_ty"], "left_semi")
-        .groupBy("_fx", "_fy")
+        .join(full, [*on, "_lv", "_tx", "_ty"], "left_semi")
+        .groupBy(*on, "_fx", "_fy")
         .agg(F.max(F.struct("_lv", "_tx", "_ty")).alias("t"))
     )
     lhs = (
         left.withColumn("_fx", fx)
         .withColumn("_fy", fy)
-        .join(choice, ["_fx", "_fy"], "left")
+        .join(choice, [*on, "_fx", "_fy"], "left")
         .withColumn("_lv", F.coalesce(F.col("t._lv"), F.lit(-1)))
         .withColumn("_tx", F.coalesce(F.col("t._tx"), _wrap(_tile(lo, top), top)))
         .withColumn("_ty", F.coalesce(F.col("t._ty"), _tile(la, top)))
@@ -179,41 +185,52 @@ def nearest_pairs(
         .drop("t", "_fx", "_fy")
     )
 
-    # Right rows go to every tile whose left rows may need them: within the tile's
-    # diagonal, or within the radius where the left row found no full tile (-1).
+    # Tiles in use look at every tile within reach of their rows: the tile's diagonal,
+    # or the radius where no full tile was found (-1). Right rows sit in one tile per
+    # level.
+    edge_of = F.when(F.col("_lv") >= 0, edge).otherwise(F.lit(top))
+    count_x = F.when(F.col("_lv") >= 0, around).otherwise(F.lit(round(360 / top)))
     diagonal = F.when(F.col("_lv") >= 0, edge).otherwise(F.lit(1e9)) * F.lit(
         _M_PER_DEG * math.sqrt(2) * 1.000001
     )
-    reach = F.least(diagonal, F.lit(float(radius_m)))
-    edge_of = F.when(F.col("_lv") >= 0, edge).otherwise(F.lit(top))
-    count_x = F.when(F.col("_lv") >= 0, around).otherwise(F.lit(round(360 / top)))
-    lng_reach = _lng_reach(ra, F.col("_reach"))
+    e = F.col("_edge")
     lat_reach = F.col("_reach") / F.lit(_M_PER_DEG) + 1e-9
-    first_x = F.floor((ro - lng_reach) / F.col("_edge"))
-    last_x = F.floor((ro + lng_reach) / F.col("_edge"))
-    placed = (
-        right.withColumn("_lv", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))))
-        .withColumn("_reach", reach)
+    high = F.greatest(F.abs(F.col("_ty") * e), F.abs((F.col("_ty") + 1) * e))
+    lng_reach = _lng_reach(F.least(high, F.lit(90.0)), F.col("_reach"))
+    first_x = F.floor(F.col("_tx") - lng_reach / e)
+    last_x = F.floor(F.col("_tx") + 1 + lng_reach / e)
+    look = (
+        lhs.select(*on, "_lv", "_tx", "_ty")
+        .distinct()
         .withColumn("_edge", edge_of)
         .withColumn("_around", count_x.cast("bigint"))
+        .withColumn("_reach", F.least(diagonal, F.lit(float(radius_m))))
         .withColumn(
-            "_ty",
+            "_ny",
             F.explode(
                 F.sequence(
-                    F.floor(F.greatest(ra - lat_reach, F.lit(-90.0)) / F.col("_edge")),
-                    F.floor(F.least(ra + lat_reach, F.lit(90.0)) / F.col("_edge")),
+                    F.floor(F.greatest(F.col("_ty") * e - lat_reach, F.lit(-90.0)) / e),
+                    F.floor(F.least((F.col("_ty") + 1) * e + lat_reach, F.lit(90.0)) / e),
                 )
             ),
         )
         .withColumn("_x", F.explode(F.sequence(first_x, F.least(last_x, first_x + F.col("_around") - 1))))
-        .withColumn("_tx", F.pmod("_x", "_around"))
-        .drop("_reach", "_edge", "_around", "_x")
+        .withColumn("_nx", F.pmod("_x", "_around"))
+        .select(*on, "_lv", "_tx", "_ty", "_nx", "_ny")
     )
-    wanted = lhs.select("_lv", "_tx", "_ty").distinct()
-    rhs = placed.join(wanted, ["_lv", "_tx", "_ty"], "left_semi").withColumn(
-        "_slot", F.explode(_slots(salts))
+    placed = (
+        right.withColumn("_lv", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))))
+        .withColumn("_edge", edge_of)
+        .withColumn("_nx", F.pmod(F.floor(ro / e), count_x.cast("bigint")))
+        .withColumn("_ny", F.floor(ra / e))
+        .drop("_edge")
+    )
+    rhs = (
+        look.join(placed, [*on, "_lv", "_nx", "_ny"])
+        .drop("_nx", "_ny")
+        .withColumn("_slot", F.explode(_slots(salts)))
     )
-    pairs = lhs.join(rhs, ["_lv", "_tx", "_ty", "_slot"]).withColumn(
+    pairs = lhs.join(rhs, [*on, "_lv", "_tx", "_ty", "_slot"]).withColumn(
         distance, haversine_m(ra, ro, la, lo)
     )
     return pairs.where(F.col(distance) <= float(radius_m)).drop("_lv", "_tx", "_ty", "_slot")
