@@ -99,6 +99,16 @@ SELECT s_suppkey AS mission_id, s_name AS name,
        370e0 AS drone_wh, 600e0 AS eud_ma, 5000e0 AS eud_mah,
        50.75e0 + ((s_suppkey * 7919) % 28000) / 1e4 AS lat
 FROM {supplier}""",
+    # Plans by country: its sites, its customers as demand, its users' routes in a row.
+    "fx_m_sites": """
+SELECT CAST(s_nationkey AS BIGINT) AS mission_id, f.site_id, f.name, f.lat, f.lng
+FROM {supplier} s JOIN {fx_sites} f ON f.site_id = s.s_suppkey""",
+    "fx_m_points": """
+SELECT CAST(c_nationkey AS BIGINT) AS mission_id, f.point_id, f.lat, f.lng
+FROM {customer} c JOIN {fx_points} f ON f.point_id = c.c_custkey""",
+    "fx_m_routes": """
+SELECT route_id % 25 AS mission_id, ROW_NUMBER() OVER (PARTITION BY route_id % 25 ORDER BY route_id, seq) AS seq, lat, lng
+FROM {fx_routes}""",
     # Radios carried by each mission: the parts its site ships.
     "fx_arsenal": """
 SELECT DISTINCT l.l_suppkey AS mission_id, r.radio_id, r.label, r.role, r.default_freq_mhz,
