@@ -266,8 +266,8 @@ def coverage_by_generation(spark, d):
 @query("team_coverage", f"""
 WITH {FIT_SQL},
 tm AS (SELECT t.team, 3500e0 + 100 * length(t.team) AS mhz, 10 * log10(0.05e0 * length(t.team) * 1000) + 2.15e0 + coalesce(offset_db, 0e0) AS eirp FROM {{fx_traffic}} t LEFT JOIN fits ON fits.radio_id = t.team),
-near AS (SELECT point_id, min({hav('p.lat', 'p.lng', 's.lat', 's.lng')}) AS dist FROM {{fx_points}} p CROSS JOIN {{fx_sites}} s GROUP BY point_id),
-g AS (SELECT team, {classes('eirp - ' + fspl('dist', 'mhz'))} AS cls FROM tm CROSS JOIN near)
+pnear AS (SELECT point_id, min({hav('p.lat', 'p.lng', 's.lat', 's.lng')}) AS dist FROM {{fx_points}} p CROSS JOIN {{fx_sites}} s GROUP BY point_id),
+g AS (SELECT team, {classes('eirp - ' + fspl('dist', 'mhz'))} AS cls FROM tm CROSS JOIN pnear)
 SELECT team, count(*) AS total, count(*) FILTER (cls <= 2) AS covered, count(*) FILTER (cls = 3) AS class_3, {R('count(*) FILTER (cls <= 2) / (count(*) * 1e0)', 6)} AS covered_frac FROM g GROUP BY team""")
 def team_coverage(spark, d):
     from ..operators.calibration import fit_calibration
