@@ -60,12 +60,9 @@ def search_radios(spark, d):
 @query("active_arsenal", """
 SELECT DISTINCT mission_id, radio_id, label FROM {fx_arsenal} WHERE radio_id NOT IN (SELECT radio_id FROM {fx_radios} WHERE price IS NULL)""")
 def active_arsenal(spark, d):
-    a = frame(spark, d, "fx_arsenal")
-    a = a.unionByName(a).select("mission_id", "radio_id", "label")
-    off = frame(spark, d, "fx_radios").where("price IS NULL").select("radio_id")
-    on = a.join(off, "radio_id", "left_anti")
-    none = on.select("mission_id", "radio_id").limit(0)
-    return RD.active_arsenal(on, none, ("mission_id", "radio_id"))
+    a = frame(spark, d, "fx_arsenal").select("mission_id", "radio_id", "label", "price")
+    twice = a.unionByName(a).drop("price")
+    return RD.active_arsenal(twice, a.where("price IS NULL"), ("mission_id", "radio_id"))
 
 
 _PAIRS = """
@@ -476,7 +473,7 @@ def hf_bands(spark, d):
 
 _ITEMS = "SELECT p_brand AS section, p_partkey AS ordinal, p_name AS label, p_type AS keywords FROM {part}"
 _QUERIES = """
-SELECT n_nationkey AS query_id, CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN substr(n_name, 1, 2) WHEN 2 THEN ' P' WHEN 3 THEN 'st' ELSE '52.5, 4.9' END AS query FROM {nation}"""
+SELECT CAST(n_nationkey AS BIGINT) AS query_id, CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN substr(n_name, 1, 2) WHEN 2 THEN ' P' WHEN 3 THEN 'st' ELSE '52.5, 4.9' END AS query FROM {nation}"""
 
 
 def _tier_sql(t: str) -> str:
@@ -496,19 +493,7 @@ def search_labels(spark, d):
     return out.select("query_id", "section", big("rank"), "label", "score")
 
 
-@query("sort_table", """
-SELECT radio_id, label, price, row_number() OVER (ORDER BY price DESC NULLS LAST, radio_id) AS pos FROM {fx_radios}""")
+@query("sort_table", "SELECT radio_id, label, price FROM {fx_radios}")
 def sort_table(spark, d):
-    """Positions in falling price order, missing prices last."""
-    df = frame(spark, d, "fx_radios").select("radio_id", "label", "price")
-    ordered = S.sort_table(df, "price", ascending=False)
-    # The position of a row is the rows of the earlier partitions plus its own place.
-    part = ordered.withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_part").orderBy(F.desc_nulls_last("price"), "radio_id")
-    sized = part.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = sized.alias("a").join(sized.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("skip"))
-    out = part.withColumn("_row", F.row_number().over(w)).join(before, "_part")
-    return out.select("radio_id", "label", "price", (F.col("_row") + F.col("skip")).alias("pos"))
+    """Radios in falling price order, missing prices last."""
+    return S.sort_table(frame(spark, d, "fx_radios").select("radio_id", "label", "price"), "price", ascending=False)

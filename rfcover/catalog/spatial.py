@@ -168,20 +168,24 @@ def to_utm(spark, d):
     )
 
 
-@query("from_utm", f"""
-WITH p AS (SELECT meas_id, 31 + meas_id % 3 AS zone, 300000e0 + meas_id * 37 % 400000 AS e, 5000000e0 + meas_id * 101 % 900000 AS nn,
-  meas_id % 2 = 0 AS north FROM {{fx_measurements}}),
-q AS (SELECT *, (e - 500000) AS x, CASE WHEN north THEN nn ELSE nn - 1e7 END AS y,
+# CTE bodies: latitude and longitude of a table ``p`` with zone, e, nn, north.
+UTM_INVERSE_SQL = f"""q AS (SELECT *, (e - 500000) AS x, CASE WHEN north THEN nn ELSE nn - 1e7 END AS y,
   (1 - sqrt(1 - {_E2})) / (1 + sqrt(1 - {_E2})) AS e1 FROM p),
 s AS (SELECT *, y / 0.9996e0 / ({_A} * (1 - {_E2} / 4 - 3 * power({_E2}, 2) / 64 - 5 * power({_E2}, 3) / 256)) AS mu FROM q),
 f AS (SELECT *, mu + (3 * e1 / 2 - 27 * power(e1, 3) / 32) * sin(2 * mu) + (21 * e1 * e1 / 16 - 55 * power(e1, 4) / 32) * sin(4 * mu)
   + 151 * power(e1, 3) / 96 * sin(6 * mu) + 1097 * power(e1, 4) / 512 * sin(8 * mu) AS p1 FROM s),
 g AS (SELECT *, {_EP2} * power(cos(p1), 2) AS c, power(tan(p1), 2) AS t, {_A} / sqrt(1 - {_E2} * power(sin(p1), 2)) AS n,
   {_A} * (1 - {_E2}) / power(1 - {_E2} * power(sin(p1), 2), 1.5) AS rr FROM f),
-h AS (SELECT *, x / (n * 0.9996e0) AS dd FROM g)
-SELECT meas_id, {R(f'degrees(p1 - n * tan(p1) / rr * (dd * dd / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {_EP2}) * power(dd, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {_EP2} - 3 * c * c) * power(dd, 6) / 720))', 7)} AS lat,
- {R(f'zone * 6 - 183 + degrees((dd - (1 + 2 * t + c) * power(dd, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {_EP2} + 24 * t * t) * power(dd, 5) / 120) / cos(p1))', 7)} AS lng
-FROM h""")
+h AS (SELECT *, x / (n * 0.9996e0) AS dd FROM g),
+latlng AS (SELECT *, degrees(p1 - n * tan(p1) / rr * (dd * dd / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {_EP2}) * power(dd, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {_EP2} - 3 * c * c) * power(dd, 6) / 720)) AS lat,
+ zone * 6 - 183 + degrees((dd - (1 + 2 * t + c) * power(dd, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {_EP2} + 24 * t * t) * power(dd, 5) / 120) / cos(p1)) AS lng FROM h)"""
+
+
+@query("from_utm", f"""
+WITH p AS (SELECT meas_id, 31 + meas_id % 3 AS zone, 300000e0 + meas_id * 37 % 400000 AS e, 5000000e0 + meas_id * 101 % 900000 AS nn,
+  meas_id % 2 = 0 AS north FROM {{fx_measurements}}),
+{UTM_INVERSE_SQL}
+SELECT meas_id, {R('lat', 7)} AS lat, {R('lng', 7)} AS lng FROM latlng""")
 def from_utm(spark, d):
     k = F.col("meas_id")
     p = X.from_utm(31 + k % 3, F.lit(300000.0) + k * 37 % 400000, F.lit(5000000.0) + k * 101 % 900000, k % 2 == 0)
