@@ -177,7 +177,7 @@ def coverage_stats(spark, d):
     return out.withColumn("covered_frac", r("covered_frac", 6))
 
 
-_CONTESTED = "least(254e0, greatest(0e0, floor(margin_db * 4 + 0.5e0))) <= 24"
+_CONTESTED = "margin_db IS NOT NULL AND least(254e0, greatest(0e0, floor(margin_db * 4 + 0.5e0))) <= 24"
 
 
 @query("server_zones", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import EARTH_RADIUS_M
-from .numeric import col, dbl, round_half_up, square
+from .numeric import clamp, col, dbl, round_half_up, square
 
 # Fixed values.
 LIGHT_M_S = 299792458.0
@@ -121,7 +121,7 @@ def classify_dbm(dbm, thresholds=None, floor_dbm=DEFAULT_FLOOR_DBM) -> Column:
 
 def quarter_db(margin_db) -> Column:
     """Margin in whole quarter decibels, 0..254."""
-    return F.least(F.greatest(round_half_up(col(margin_db) * 4), F.lit(0.0)), F.lit(254.0))
+    return clamp(round_half_up(col(margin_db) * 4), F.lit(0.0), F.lit(254.0))
 
 
 def thresholds_from_sensitivity(sens_dbm, kind: str = "radio") -> Column:

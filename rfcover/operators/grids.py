@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import aoi_bbox, grid_dims, haversine_m, in_aoi, in_bbox, tile_xy
 from ..functions.numeric import dbl
+from .runtime import spread
 
 
 def grid_cells(boxes: DataFrame, box: str = "box", cols="cols", rows="rows") -> DataFrame:
@@ -18,6 +19,7 @@ def grid_cells(boxes: DataFrame, box: str = "box", cols="cols", rows="rows") ->
     b = F.col(box)
     out = boxes.withColumn("_cols", F.col(cols)).withColumn("_rows", F.col(rows))
     out = out.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
+    out = spread(out, box, "row")
     out = out.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)))
     return (
         out.withColumn("lat", b["north"] - (F.col("row") + 0.5) / F.col("_rows") * (b["north"] - b["south"]))

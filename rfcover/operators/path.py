@@ -9,6 +9,7 @@ from ..functions import link as L
 from ..functions.geo import haversine_m
 from ..functions.link import LinkParams
 from ..functions.numeric import clamp, col, dbl, round_half_up
+from .runtime import spread
 
 
 def _along(a: str, b: str) -> Column:
@@ -68,6 +69,8 @@ def diffraction_db(
     """
     by = [*on, *by]
     keep = [c for c in links.columns if c not in by]
+    # By cell: the maximum per link and the best server per cell reuse this partitioning.
+    links = spread(links, *by[:-1])
     p = elevation.sample(link_profiles(links), "terrain_m", lng="p_lng", lat="p_lat")
     d2 = F.col("distance_m") - F.col("d1")
     tx = F.col("tx_ground_m") + F.col(tx_height)
@@ -86,14 +89,14 @@ def diffraction_db(
 # ---- single paths -------------------------------------------------------------------
 
 
-def path_profiles(pairs: DataFrame, elevation, steps: int = 100) -> DataFrame:
+def path_profiles(pairs: DataFrame, elevation, steps: int = 100, by=("pair_id",)) -> DataFrame:
     """Evenly spaced ground heights, both ends: pair columns plus i, f, d1, elev_m.
 
     Pairs hold a_lat, a_lng, b_lat, b_lng.
     """
     n = max(2, round(steps))
     p = (
-        pairs.withColumn("distance_m", haversine_m("a_lat", "a_lng", "b_lat", "b_lng"))
+        spread(pairs, *by).withColumn("distance_m", haversine_m("a_lat", "a_lng", "b_lat", "b_lng"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("f", F.col("i") / F.lit(float(n - 1)))
         .withColumn("d1", F.col("distance_m") * F.col("f"))
@@ -181,7 +184,7 @@ def min_mast_height(
     """
     n = max(8, round(steps))
     by = list(by)
-    p = path_profiles(pairs, elevation, n)
+    p = path_profiles(pairs, elevation, n, by)
     if clutter is not None:
         p = clutter.sample(p, "_clutter", lng="p_lng", lat="p_lat", method="nearest")
     else:
@@ -267,7 +270,7 @@ def flight_envelope(
     )
     level = dbl(eirp_dbm) - L.fspl_db("distance_m", freq_mhz)
     links = links.where((F.col("distance_m") >= 1) & (level >= float(rx_sens_dbm)))
-    p = link_profiles(links, kind="envelope", start=("st_lat", "st_lng"))
+    p = link_profiles(spread(links, *by), kind="envelope", start=("st_lat", "st_lng"))
     p = elevation.sample(p, "terrain_m", lng="p_lng", lat="p_lat")
     d2 = F.col("distance_m") - F.col("d1")
     ground = F.col("terrain_m") + L.earth_bulge_m("d1", d2)

@@ -20,3 +20,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a round's result to the checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition rows by ``keys`` into the session's full number of partitions.
+
+    Used before steps that turn a row into many (grids, samples, candidate pairs): the
+    input is small in bytes, so adaptive execution would fold it into few tasks. Later
+    grouping on the same keys needs no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

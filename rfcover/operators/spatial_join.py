@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
 from ..functions.numeric import col
+from .runtime import spread
 
 _M_PER_DEG = EARTH_RADIUS_M * math.pi / 180
 
@@ -32,6 +33,32 @@ def _wrap(x: Column, deg: float) -> Column:
     return F.pmod(x, F.lit(round(360 / deg)).cast("bigint"))
 
 
+_AXES = ("x", "y", "z")
+
+
+def _with_vector(df: DataFrame, prefix: str, lat: Column, lng: Column) -> DataFrame:
+    """Add the position as a unit vector, so that pairs are tested without trigonometry."""
+    c = F.cos(F.radians(lat))
+    parts = (c * F.cos(F.radians(lng)), c * F.sin(F.radians(lng)), F.sin(F.radians(lat)))
+    for axis, v in zip(_AXES, parts):
+        df = df.withColumn(prefix + axis, v)
+    return df
+
+
+def _chord2_limit(reach_m: Column) -> Column:
+    """Square of the chord of a distance, a hair wide: a quick first test of pairs."""
+    half = F.sin(F.least(reach_m / F.lit(2 * EARTH_RADIUS_M), F.lit(math.pi / 2)))
+    return half * half * (4 * (1 + 1e-9)) + 1e-15
+
+
+def _chord2() -> Column:
+    d = [F.col("_u" + a) - F.col("_v" + a) for a in _AXES]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+_VECTOR_COLUMNS = [p + a for p in ("_u", "_v") for a in _AXES]
+
+
 HALF_EARTH_M = EARTH_RADIUS_M * math.pi  # no two points are farther apart
 
 
@@ -105,8 +132,11 @@ def near_pairs(
     if not isinstance(radius_m, (int, float)):
         rhs = rhs.withColumn("_radius", radius)
         radius = F.col("_radius")
-    pairs = lhs.join(rhs, keys).withColumn(distance, haversine_m(ra, ro, la, lo))
-    return pairs.where(F.col(distance) <= radius).drop("_tx", "_ty", "_slot", "_radius")
+    lhs = spread(_with_vector(lhs, "_u", la, lo), *keys)
+    rhs = _with_vector(rhs, "_v", ra, ro).withColumn("_limit", _chord2_limit(radius))
+    pairs = lhs.join(rhs, keys).where(_chord2() <= F.col("_limit"))
+    pairs = pairs.withColumn(distance, haversine_m(ra, ro, la, lo)).where(F.col(distance) <= radius)
+    return pairs.drop("_tx", "_ty", "_slot", "_radius", "_limit", *_VECTOR_COLUMNS)
 
 
 def nearest_pairs(
@@ -230,7 +260,13 @@ def nearest_pairs(
         .drop("_nx", "_ny")
         .withColumn("_slot", F.explode(_slots(salts)))
     )
-    pairs = lhs.join(rhs, [*on, "_lv", "_tx", "_ty", "_slot"]).withColumn(
-        distance, haversine_m(ra, ro, la, lo)
+    # Rows beyond the left tile's own reach cannot be among its k nearest.
+    reach = F.least(diagonal, F.lit(float(radius_m)))
+    lhs = _with_vector(lhs, "_u", la, lo).withColumn("_limit", _chord2_limit(reach))
+    lhs = spread(lhs, *on, "_lv", "_tx", "_ty", "_slot")
+    rhs = _with_vector(rhs, "_v", ra, ro)
+    pairs = lhs.join(rhs, [*on, "_lv", "_tx", "_ty", "_slot"]).where(_chord2() <= F.col("_limit"))
+    pairs = pairs.withColumn(distance, haversine_m(ra, ro, la, lo))
+    return pairs.where(F.col(distance) <= float(radius_m)).drop(
+        "_lv", "_tx", "_ty", "_slot", "_limit", *_VECTOR_COLUMNS
     )
-    return pairs.where(F.col(distance) <= float(radius_m)).drop("_lv", "_tx", "_ty", "_slot")

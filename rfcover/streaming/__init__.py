@@ -1,0 +1 @@
+"""No streams: the library's inputs are tables."""
