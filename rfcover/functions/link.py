@@ -55,7 +55,9 @@ def wavelength_m(freq_mhz) -> Column:
 
 def fspl_db(distance_m, freq_mhz) -> Column:
     d = dbl(distance_m)
-    d = F.when(d > 1, F.log10(d)).when(d.isNotNull(), 0.0)
+    # At least 1 m. The sum keeps a missing distance missing (greatest() alone would
+    # not) and names the distance only twice: filters on levels copy it as a formula.
+    d = F.log10(d + F.greatest(1 - d, F.lit(0.0)))
     return d * 20 + F.log10(dbl(freq_mhz) * 1e6) * 20 + F.lit(_FSPL_CONST)
 
 

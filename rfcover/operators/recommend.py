@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import link as L
 from ..functions.geo import bbox, bbox_diagonal_m, haversine_m, pad_bbox
 from .coverage import score_links
 from .grids import grid_cells
@@ -106,8 +105,8 @@ def coverage_matrix(
     sites = candidates.select(by, F.col("candidate").alias("site_id"), "lat", "lng", F.lit(float(tx_height_m)).alias("tx_height_m"))
     cells = demand.withColumnRenamed("demand_id", "cell_id")
     links = score_links(cells, sites, link, elevation=elevation, clutter_db=clutter_db, on=(by,), tile_m=tile_m)
-    good = L.classify_dbm("dbm", link.thresholds, link.floor_dbm) <= 2
-    return links.where(good).select(by, F.col("site_id").alias("candidate"), F.col("cell_id").alias("demand_id"))
+    # Class 0..2 is one comparison: class bounds fall, and all lie above the floor.
+    return links.where(F.col("dbm") >= max(link.thresholds["marginal"], link.floor_dbm)).select(by, F.col("site_id").alias("candidate"), F.col("cell_id").alias("demand_id"))
 
 
 def greedy_max_cover(

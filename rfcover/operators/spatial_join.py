@@ -100,7 +100,7 @@ def near_pairs(
     right_pos=("site_lat", "site_lng"),
     on=(),
     tile_m: float | None = None,
-    salts: int = 8,
+    salts: int = 4,
     distance: str = "distance_m",
 ) -> DataFrame:
     """All (left, right) pairs at most ``radius_m`` apart, with their distance.
@@ -124,16 +124,19 @@ def near_pairs(
         .withColumn("_ty", _tile(la, deg))
         .withColumn("_slot", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     )
+    # Per-row values come before the copies; the few right rows are spread first.
+    rhs = _with_vector(spread(right, *on, *right_pos), "_v", ra, ro).withColumn("_radius", radius)
+    radius = F.col("_radius")
     rhs = (
-        right.withColumn("_ty", F.explode(_tile_range(ra, reach_lat, deg, 90.0)))
-        .withColumn("_tx", F.explode(_lng_tiles(ro, _lng_reach(ra, radius), deg)))
+        rhs.withColumn("_limit", _chord2_limit(radius))
+        .withColumn("_ys", _tile_range(ra, reach_lat, deg, 90.0))
+        .withColumn("_xs", _lng_tiles(ro, _lng_reach(ra, radius), deg))
+        .withColumn("_ty", F.explode("_ys"))
+        .withColumn("_tx", F.explode("_xs"))
         .withColumn("_slot", F.explode(_slots(salts)))
+        .drop("_ys", "_xs")
     )
-    if not isinstance(radius_m, (int, float)):
-        rhs = rhs.withColumn("_radius", radius)
-        radius = F.col("_radius")
     lhs = spread(_with_vector(lhs, "_u", la, lo), *keys)
-    rhs = _with_vector(rhs, "_v", ra, ro).withColumn("_limit", _chord2_limit(radius))
     pairs = lhs.join(rhs, keys).where(_chord2() <= F.col("_limit"))
     pairs = pairs.withColumn(distance, haversine_m(ra, ro, la, lo)).where(F.col(distance) <= radius)
     return pairs.drop("_tx", "_ty", "_slot", "_radius", "_limit", *_VECTOR_COLUMNS)
@@ -249,7 +252,8 @@ def nearest_pairs(
         .select(*on, "_lv", "_tx", "_ty", "_nx", "_ny")
     )
     placed = (
-        right.withColumn("_lv", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))))
+        _with_vector(right, "_v", ra, ro)
+        .withColumn("_lv", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))))
         .withColumn("_edge", edge_of)
         .withColumn("_nx", F.pmod(F.floor(ro / e), count_x.cast("bigint")))
         .withColumn("_ny", F.floor(ra / e))
@@ -264,7 +268,6 @@ def nearest_pairs(
     reach = F.least(diagonal, F.lit(float(radius_m)))
     lhs = _with_vector(lhs, "_u", la, lo).withColumn("_limit", _chord2_limit(reach))
     lhs = spread(lhs, *on, "_lv", "_tx", "_ty", "_slot")
-    rhs = _with_vector(rhs, "_v", ra, ro)
     pairs = lhs.join(rhs, [*on, "_lv", "_tx", "_ty", "_slot"]).where(_chord2() <= F.col("_limit"))
     pairs = pairs.withColumn(distance, haversine_m(ra, ro, la, lo))
     return pairs.where(F.col(distance) <= float(radius_m)).drop(
