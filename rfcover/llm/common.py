@@ -41,6 +41,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parallel_tasks(spark: SparkSession) -> int:
+    """How many tasks to deal small rows with heavy work out to."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # ---- files that tasks write and read ------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .packing import pack_descriptions
+from .token_files import read_token_files, write_token_files
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
 
 
@@ -16,3 +17,11 @@ def op8_packing(spark, d):
         F.col("feature_id").alias("doc_id"), "start", "length", F.crc32("token_ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset", "tier", "step_group",
     )
+
+
+@query("op7_token_files")
+def op7_token_files(spark, d):
+    files = write_token_files(features_of(table(spark, d, "documents")), public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(files).select(
+        F.col("feature_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32")
+    )
