@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .contamination import contained_windows
 from .packing import pack_descriptions
 from .token_files import read_token_files, write_token_files
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
@@ -25,3 +26,25 @@ def op7_token_files(spark, d):
     return read_token_files(files).select(
         F.col("feature_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32")
     )
+
+
+_WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op1_decontamination", f"""
+WITH b AS MATERIALIZED (SELECT item_id, {_WORDS.format(t="text")} AS w FROM benchmark),
+bw AS MATERIALIZED (SELECT DISTINCT item_id, CASE WHEN len(w) < 13 THEN w ELSE w[s:s + 12] END AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(win) AS n FROM bw),
+d AS MATERIALIZED (SELECT doc_id, coalesce({_WORDS.format(t="text")}, []) AS w FROM documents),
+dw AS (SELECT doc_id, s, n, w[s:s + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
+f AS MATERIALIZED (SELECT doc_id, s, n, item_id FROM dw JOIN bw USING (win)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM f)) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM f) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, coalesce(i.items_sha256, sha256('')) AS items_sha256,
+ coalesce(h.n_hit > 0 AND 20 * h.n_hit >= len(d.w), false) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def op1_decontamination(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("description"))
+    return contained_windows(features_of(table(spark, d, "documents")), items).select(
+        F.col("feature_id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
