@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .contamination import contained_windows
 from .packing import pack_descriptions
 from .token_files import read_token_files, write_token_files
+from .quality import quality_rules
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
 
 
@@ -48,3 +49,10 @@ def op1_decontamination(spark, d):
         F.col("feature_id").alias("doc_id"), "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark, d):
+    return quality_rules(features_of(table(spark, d, "documents"), "lang")).select(
+        F.col("feature_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"
+    )
