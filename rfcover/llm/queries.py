@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .contamination import contained_windows
 from .packing import pack_descriptions
+from .similar import similar_descriptions
 from .token_files import read_token_files, write_token_files
 from .quality import quality_rules
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
@@ -56,3 +57,16 @@ def op6_quality_rules(spark, d):
     return quality_rules(features_of(table(spark, d, "documents"), "lang")).select(
         F.col("feature_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"
     )
+
+
+@query("op4_ngram_jaccard", """
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[s:s + 4] END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id""")
+def op4_ngram_jaccard(spark, d):
+    return similar_descriptions(features_of(table(spark, d, "documents"))).withColumnRenamed("feature_id", "doc_id")
