@@ -32,7 +32,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.kind = self._kind(json.load(f))
+            config = json.load(f)
+        self.kind, self.lower = self._kind(config), "Lowercase" in json.dumps(config.get("normalizer"))
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -62,7 +63,7 @@ class Encoder:
         if self.kind == "whole" or _ODD_SPACE.search(t):
             return None
         if self.kind == "words":
-            return t.split()
+            return (t.lower() if self.lower and "<|" not in t and t.isascii() else t).split()
         if "  " in t or " \n" in t or "\n " in t or "\n\n\n" in t or "\t" in t or "\r" in t or "\v" in t or "\f" in t:
             return None
         if t.endswith(" ") or t.endswith("\n\n"):
