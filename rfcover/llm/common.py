@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 
@@ -41,6 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` cells occur in the column ``cell``: a fixed size at any number of rows."""
+    words = cells.groupBy(F.expr("cast(cell div 64 as int) AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("b"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
 def parallel_tasks(spark: SparkSession) -> int:
     """How many tasks to deal small rows with heavy work out to."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -53,7 +63,7 @@ def open_output(uri: str):
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER_OR_DIGIT, LOWER, Words, chunks, stage
+from .common import LETTER_OR_DIGIT, LOWER, Words, bitmap, chunks, stage
 
 WINDOW = 13
 SHINGLE = 4
@@ -63,13 +63,7 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(tokens: DataFrame) -> np.ndarray:
-    """Which of a fixed number of cells hold a token: two megabytes at any size of the items."""
-    cells = tokens.select(F.shiftrightunsigned("token", 40).alias("cell")).distinct()
-    words = cells.groupBy((F.col("cell") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 as int)))").alias("b"))
-    got = words.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[got["w"].to_numpy()] = got["b"].to_numpy()
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return bitmap(tokens.select(F.shiftrightunsigned("token", 40).alias("cell")), FILTER_BITS)
 
 
 def _document_rows(features: DataFrame, bits, ks, window: int, context: bool) -> DataFrame:

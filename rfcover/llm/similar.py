@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WHITE, Words, chunks, mix, parallel_tasks, stage
+from .common import LOWER, NOT_WHITE, Words, bitmap, chunks, mix, parallel_tasks, stage
 
 SHINGLE = 5
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 15
+NODE_CELLS = 1 << 24
 PARTS = 16  # of the suffix filter
 
 
@@ -198,7 +199,8 @@ def _postings(texts: DataFrame, sent, k: int, percent: int, parts: int) -> DataF
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, together: int = 500) -> DataFrame:
     """Those of the pairs (a, b) whose sets link; each pair is looked at once.
 
-    Texts go to their pairs' tasks once per ``a``: the text of ``a`` comes first, those of its
+    Texts that no pair needs are dropped where they are read, by a bitmap of two megabytes that
+    lets some others through. Texts go to their pairs' tasks once per ``a``: the text of ``a`` comes first, those of its
     partners follow one by one. An ``a`` with more than ``together`` partners is dealt
     out to several tasks.
     """
@@ -206,7 +208,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, together:
     pairs = pairs.join(slots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("salt"))
     heads = pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("node"))
     wanted = heads.withColumn("head", F.lit(True)).unionByName(pairs.select("a", "salt", F.col("b").alias("node"), F.lit(False).alias("head")))
-    rows = wanted.join(texts.select("node", "description"), "node")
+    cell = F.pmod(F.xxhash64("node"), F.lit(NODE_CELLS)).alias("cell")
+    needed = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(cell), NODE_CELLS))
+
+    def narrow(batches):
+        bits = needed.value
+        for batch in batches:
+            keep = bits[batch.column(2).to_numpy()]
+            if keep.any():
+                yield batch.filter(pa.array(keep)).select([0, 1])
+
+    some = texts.select("node", "description", cell).mapInArrow(narrow, "node bigint, description string")
+    rows = wanted.join(some.hint("shuffle_merge"), "node")
 
     def run(batches):
         key, own, counts = None, None, None
@@ -265,16 +278,16 @@ def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 7
     keyed = stage(_keep_distinct(rows, k), "set-keys")
     nodes = keyed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row_key").alias("node"), F.min("feature_id").alias("smallest"))
     nodes = stage(nodes, "set-nodes")
-    texts = rows.select(F.col("row_key").alias("node"), "description").join(nodes.select("node"), "node", "left_semi")
-    texts = stage(texts.select("node", "description"), "set-texts")
+    texts = rows.select(F.col("row_key").alias("node"), "description")
 
     sent = spark.sparkContext.broadcast(_frequencies(texts, k))
     parts = max(parallel_tasks(spark), 16)
-    posts = stage(_postings(texts, sent, k, percent, parts), "postings")
+    posts = _postings(texts, sent, k, percent, parts).join(nodes.select("node"), "node", "left_semi")
+    posts = stage(posts.select("gram", "node", "n", "pos"), "postings")
 
-    # stars: a gram in eight links its sets to one of them
+    # stars: a gram in eight links its sets to one of them, the first in one of four orders
     some = posts.where("pmod(gram, 8) = 0")
-    hub = some.groupBy("gram").agg(F.expr("min_by(struct(node, n), xxhash64(gram, node))").alias("hub"))
+    hub = some.groupBy("gram").agg(F.expr("min_by(struct(node, n), xxhash64(pmod(shiftright(gram, 8), 4), node))").alias("hub"))
     fits = F.least("n", "hub.n") * 100 >= percent * F.greatest("n", "hub.n")
     stars = some.join(hub, "gram").where(fits & (F.col("node") != F.col("hub.node")))
     stars = stars.select(F.greatest("node", "hub.node").alias("b"), F.least("node", "hub.node").alias("a")).distinct()
