@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .archive import read_archives, write_archives
 from .contamination import contained_windows
 from .packing import pack_descriptions
+from .sharding import shard_features
 from .similar import similar_descriptions
 from .token_files import read_token_files, write_token_files
 from .quality import quality_rules
@@ -70,3 +72,24 @@ r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def op4_ngram_jaccard(spark, d):
     return similar_descriptions(features_of(table(spark, d, "documents"))).withColumnRenamed("feature_id", "doc_id")
+
+
+@query("op2_sharding")
+def op2_sharding(spark, d):
+    return shard_features(features_of(table(spark, d, "documents"))).select(
+        F.col("feature_id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+w AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+b AS (SELECT page_id, h, top, list_aggregate([lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0') FOR c IN string_split(sha1(h), '')], 'string_agg', '') AS bits FROM p JOIN w USING (h))
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+ list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum([CASE WHEN bits[5 * i + j] = '1' THEN 1 << (5 - j) ELSE 0 END FOR j IN [1, 2, 3, 4, 5]]) AS INT) + 1, 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b""")
+def op9_warc(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("feature_id"), F.col("url").alias("uri"), F.col("html").alias("document"))
+    return read_archives(write_archives(pages)).select(
+        F.col("feature_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
+    )
