@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .archive import read_archives, write_archives
+from .chat import format_chats, read_chats
 from .contamination import contained_windows
 from .packing import pack_descriptions
 from .sharding import shard_features
 from .similar import similar_descriptions
+from .toxicity import score_toxicity
 from .token_files import read_token_files, write_token_files
 from .quality import quality_rules
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
@@ -93,3 +95,37 @@ def op9_warc(spark, d):
     return read_archives(write_archives(pages)).select(
         F.col("feature_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
     )
+
+
+_TURN_HASH = "sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text), ''))"
+
+
+@query("op3_chat_format", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(replace(text, chr(92), repeat(chr(92), 2)), '<s>|</s>|\\[INST\\]|\\[/INST\\]', '-\\0', 'g') AS t, regexp_replace(replace(role, chr(92), repeat(chr(92), 2)), '<s>|</s>|\\[INST\\]|\\[/INST\\]', '-\\0', 'g') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, {_TURN_HASH} AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(t) + length(r) + 20) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""")
+def op3_chat_format(spark, d):
+    own = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    turns = F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
+    records = rows.groupBy("conv_id").agg(turns.alias("messages")).select(F.col("conv_id").alias("chat_id"), F.to_json(F.struct("messages")).alias("record"))
+    said = F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n")))
+    return read_chats(format_chats(records)).select(
+        F.col("chat_id").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, d):
+    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
+    labels = table(spark, d, "labels").where(~held_out("doc_id")).select(F.col("doc_id").alias("feature_id"), "toxic")
+    scored = score_toxicity(features_of(table(spark, d, "documents")), labels)
+    return scored.select(
+        F.col("feature_id").alias("doc_id"), held_out("feature_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
