@@ -12,6 +12,8 @@ from .common import LOWER, NOT_WHITE, Words, bitmap, chunks, mix, parallel_tasks
 SHINGLE = 5
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 15
+SIGNATURE = 8  # 64-bit words of a set's bitmap
+SIGNS = [f"s{i}" for i in range(SIGNATURE)]
 NODE_CELLS = 1 << 24
 PARTS = 16  # of the suffix filter
 
@@ -77,12 +79,15 @@ def _keep_distinct(features: DataFrame, k: int) -> DataFrame:
                 for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(what ^ salt), dtype=np.uint64)])
                     key.append(mix((total[first[1:]] - total[first[:-1]]) ^ n.astype(np.uint64)).view(np.int64))
+                bits = np.zeros((len(n), 64 * SIGNATURE), bool)
+                bits[who, (what % np.uint64(64 * SIGNATURE)).astype(np.int64)] = True
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(n), pa.array(key[0]), pa.array(key[1])],
-                    ["row_key", "feature_id", "n_shingles", "key1", "key2"],
+                    [batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(n), pa.array(key[0]), pa.array(key[1]), *(pa.array(words[:, i]) for i in range(SIGNATURE))],
+                    ["row_key", "feature_id", "n_shingles", "key1", "key2", *SIGNS],
                 )
 
-    return features.mapInArrow(run, "row_key bigint, feature_id bigint, n_shingles bigint, key1 bigint, key2 bigint")
+    return features.mapInArrow(run, "row_key bigint, feature_id bigint, n_shingles bigint, key1 bigint, key2 bigint, " + ", ".join(f"{c} bigint" for c in SIGNS))
 
 
 def _frequencies(texts: DataFrame, k: int) -> np.ndarray:
@@ -264,8 +269,8 @@ def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 7
     hashed cells, so ties and collisions only change the order), the necessary prefix of each
     set is dealt out by gram, and grams that one set has are dropped. Of a gram's sets, each is
     first compared with one of them, drawn anew for each gram; the links found give classes. Then
-    every pair of sets of different classes that shares a prefix gram, and whose length and
-    position allow a link, passes a suffix filter and is verified, once. Pairs within a class cannot
+    every pair of sets of different classes that shares a prefix gram, and whose lengths,
+    positions and bitmaps of 512 bits allow a link, passes a suffix filter and is verified, once. Pairs within a class cannot
     change it, so large groups of copies give no more pairs than members times grams.
 
     Result, a row per input row: ``feature_id``, ``n_shingles``, ``component_id`` (the smallest
@@ -276,7 +281,7 @@ def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 7
     spark = features.sparkSession
     rows = features.select(F.col("feature_id").cast("bigint"), F.col("description").cast("string"), F.monotonically_increasing_id().alias("row_key"))
     keyed = stage(_keep_distinct(rows, k), "set-keys")
-    nodes = keyed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row_key").alias("node"), F.min("feature_id").alias("smallest"))
+    nodes = keyed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row_key").alias("node"), F.min("feature_id").alias("smallest"), *[F.first(c).alias(c) for c in SIGNS])
     nodes = stage(nodes, "set-nodes")
     texts = rows.select(F.col("row_key").alias("node"), "description")
 
@@ -285,9 +290,12 @@ def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 7
     posts = _postings(texts, sent, k, percent, parts).join(nodes.select("node"), "node", "left_semi")
     posts = stage(posts.select("gram", "node", "n", "pos"), "postings")
 
-    # stars: a gram in eight links its sets to one of them, the first in one of four orders
-    some = posts.where("pmod(gram, 8) = 0")
-    hub = some.groupBy("gram").agg(F.expr("min_by(struct(node, n), xxhash64(pmod(shiftright(gram, 8), 4), node))").alias("hub"))
+    # stars: a gram in eight links its sets to one of them: the one whose own prefix is shared
+    # most, which lies in the middle of its copies, or for some grams the first in a random order
+    shared = posts.groupBy("node").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    some = posts.where("pmod(gram, 8) = 0").join(shared, "node")
+    rank = F.expr("if(pmod(shiftright(gram, 8), 4) = 0, 0.0, share)")
+    hub = some.groupBy("gram").agg(F.max_by(F.struct("node", "n"), F.struct(rank, F.xxhash64("node"))).alias("hub"))
     fits = F.least("n", "hub.n") * 100 >= percent * F.greatest("n", "hub.n")
     stars = some.join(hub, "gram").where(fits & (F.col("node") != F.col("hub.node")))
     stars = stars.select(F.greatest("node", "hub.node").alias("b"), F.least("node", "hub.node").alias("a")).distinct()
@@ -299,12 +307,15 @@ def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 7
     p = posts.join(classes, "node", "left").select("gram", "node", "n", "pos", own.alias("class"))
     p = stage(p, "class-postings")
     mixed = p.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
-    p = p.join(mixed, "gram")
+    p = p.join(mixed, "gram").join(nodes.select("node", *SIGNS), "node")
     x, y = p.alias("x"), p.alias("y")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-    at_most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    at_most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos")
+    apart = [sum(F.bit_count(F.col(f"{u}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{v}.{c}")))) for c in SIGNS) for u, v in ("xy", "yx")]
     cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class")))
-    cross = cross.where((F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")) & (at_most + F.least("x.pos", "y.pos") >= need))
+    cross = cross.where(F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))  # length
+    cross = cross.where((F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need) & (at_most >= need))  # position
+    cross = cross.where((F.col("x.n") - apart[0] >= need) & (F.col("y.n") - apart[1] >= need))  # grams that the other bitmap lacks
     cross = stage(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "cross-pairs")
     more = stage(_verify(cross, texts, k, percent), "cross-links")
     classes = linked_classes(links.unionByName(more))
