@@ -35,14 +35,7 @@ def _range_of(splits: list[tuple]) -> Column:
         return F.lit(0)
     own = F.struct(F.col("key").alias("a"), F.col("feature_id").isNotNull().alias("b"), F.coalesce("feature_id", F.lit(0)).alias("c"), F.col("tie").alias("d"))
     rows = ", ".join(f"named_struct('a', {a}L, 'b', {str(b).lower()}, 'c', {c}L, 'd', {d}L)" for a, b, c, d in splits).replace("-9223372036854775808L", "bigint('-9223372036854775808')")
-    # a binary search over the sorted splitters, in steps of powers of two
-    at, step = F.lit(0), 1 << (len(splits).bit_length() - 1)
-    table = F.expr(f"array({rows})")
-    while step:
-        there = at + step
-        at = F.when((there <= len(splits)) & (F.get(table, there - 1) <= own), there).otherwise(at)
-        step >>= 1
-    return at
+    return F.size(F.filter(F.expr(f"array({rows})"), lambda x: x <= own))
 
 
 def _deal(heavy: list[tuple[int, int]], total: int, shards: int) -> tuple[list[tuple[int, int]], list[float]]:
