@@ -13,6 +13,7 @@ from .sharding import shard_features
 from .similar import similar_descriptions
 from .toxicity import score_toxicity
 from .token_files import read_token_files, write_token_files
+from .personal import personal_spans
 from .quality import quality_rules
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
 
@@ -129,3 +130,14 @@ def op5_toxicity(spark, d):
     return scored.select(
         F.col("feature_id").alias("doc_id"), held_out("feature_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.stop.cast("string"))), ",")
+
+
+@query("op10_pii")
+def op10_pii(spark, d):
+    found = personal_spans(features_of(table(spark, d, "documents")))
+    n = [F.size(F.filter("base", lambda s: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]  # noqa: B023
+    return found.select(F.col("feature_id").alias("doc_id"), *n, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
