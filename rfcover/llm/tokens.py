@@ -33,6 +33,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
+        self.added = [t["content"] for t in config["added_tokens"]]
         self.kind, self.lower = self._kind(config), "Lowercase" in json.dumps(config.get("normalizer"))
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -60,10 +61,10 @@ class Encoder:
         In a ``spaced`` vocabulary each piece but the first stands for itself with the space
         before it, or with the line end that it begins with.
         """
-        if self.kind == "whole" or _ODD_SPACE.search(t):
+        if self.kind == "whole" or _ODD_SPACE.search(t) or any(a in t for a in self.added):
             return None
         if self.kind == "words":
-            return (t.lower() if self.lower and "<|" not in t and t.isascii() else t).split()
+            return (t.lower() if self.lower and t.isascii() and not any(a in t.lower() for a in self.added) else t).split()
         if "  " in t or " \n" in t or "\n " in t or "\n\n\n" in t or "\t" in t or "\r" in t or "\v" in t or "\f" in t:
             return None
         if t.endswith(" ") or t.endswith("\n\n"):
