@@ -35,14 +35,16 @@ def candidate_links(
     nearest: int | None = None,
     on=(),
     tile_m: float | None = None,
-    reach_m: float | None = None,
+    uniform_reach_m: float | None = None,
 ) -> DataFrame:
     """Cell-site pairs that can reach the floor in free space, with distances.
 
     Every other loss is zero or more, so no serving link is lost. ``nearest`` keeps a
-    smaller set that still holds each cell's nearest sites: exact for links whose
-    level depends on distance alone within an ``on`` group. ``reach_m`` bounds the
-    range where link values are columns.
+    smaller set that still holds each cell's nearest sites. That is exact only where the
+    level depends on distance alone within an ``on`` group, so it is used for links of
+    plain numbers, and for column values only when ``uniform_reach_m`` is given: the
+    caller's word that all sites of an ``on`` group share their link values and reach no
+    farther than this. Sites of unequal power are never cut to the nearest.
     """
     s = sites.withColumnRenamed("lat", "site_lat").withColumnRenamed("lng", "site_lng")
     reach = _range_of(link)
@@ -51,8 +53,8 @@ def candidate_links(
         if nearest:
             return nearest_pairs(cells, s, reach, k=nearest, on=on)
         return near_pairs(cells, s, reach, on=on, tile_m=tile_m)
-    if nearest and reach_m:
-        return nearest_pairs(cells, s, reach_m, k=nearest, on=on)
+    if nearest and uniform_reach_m:
+        return nearest_pairs(cells, s, uniform_reach_m, k=nearest, on=on)
     radius = F.greatest(
         L.max_range_m(link.eirp_dbm, link.freq_mhz, link.rx_gain_dbi, link.floor_dbm), F.lit(1.0)
     ) * 1.0000001
@@ -69,7 +71,7 @@ def score_links(
     on=(),
     nearest: int | None = None,
     tile_m: float | None = None,
-    reach_m: float | None = None,
+    uniform_reach_m: float | None = None,
 ) -> DataFrame:
     """Received level of every in-range (cell, site).
 
@@ -84,7 +86,9 @@ def score_links(
         nearest = None
     if clutter_db:
         nearest = None
-    links = candidate_links(cells, sites, link, nearest=nearest, on=on, tile_m=tile_m, reach_m=reach_m)
+    links = candidate_links(
+        cells, sites, link, nearest=nearest, on=on, tile_m=tile_m, uniform_reach_m=uniform_reach_m
+    )
     if elevation is not None:
         links = diffraction_db(links, elevation, link, on=on)
     else:
@@ -136,7 +140,7 @@ def coverage_grid(
     by=("cell_id",),
     on=(),
     tile_m: float | None = None,
-    reach_m: float | None = None,
+    uniform_reach_m: float | None = None,
 ) -> DataFrame:
     """Class and best server of every cell; unserved cells keep NULLs.
 
@@ -148,7 +152,7 @@ def coverage_grid(
     need = list(dict.fromkeys([*by, *on, "lat", "lng", *([clutter_db] if clutter_db else [])]))
     links = score_links(
         scored.select(*need), sites, link, elevation=elevation, clutter_db=clutter_db,
-        on=on, nearest=2, tile_m=tile_m, reach_m=reach_m,
+        on=on, nearest=2, tile_m=tile_m, uniform_reach_m=uniform_reach_m,
     )
     best = best_server(links, link.floor_dbm, by=by)
     return cells.join(best, list(by), "left").withColumn(
@@ -192,30 +196,40 @@ def contested_cells(grid: DataFrame, threshold_db: float = 6.0) -> DataFrame:
 
 
 def server_zones(
-    grid: DataFrame, names: DataFrame | None = None, threshold_db: float = 6.0
+    grid: DataFrame, names: DataFrame | None = None, threshold_db: float = 6.0, by=()
 ) -> DataFrame:
     """Cells, share and contested cells of every winning site, largest share first.
 
-    ``names`` is (site_id, name); a missing or empty name becomes "Site n".
+    ``by`` names the run's columns: each run has zones and shares of its own. ``names`` is
+    (site_id, name), or the run's columns too; a missing or empty name becomes "Site n".
     """
+    by = list(by)
     zones = (
         grid.where(F.col("best_site").isNotNull())
-        .groupBy(F.col("best_site").alias("site_id"))
+        .groupBy(*by, F.col("best_site").alias("site_id"))
         .agg(
             F.count(F.lit(1)).alias("cells"),
             F.count_if(is_contested(threshold_db)).alias("contested"),
         )
     )
-    total = zones.agg(F.sum("cells").alias("_covered"))
-    zones = zones.withColumn("share", F.col("cells") / total.scalar())
+    # One row per run and site is left, so the total is a window over few rows; one run alone
+    # adds up in a scalar.
+    if by:
+        total = F.sum("cells").over(Window.partitionBy(*by))
+    else:
+        total = zones.agg(F.sum("cells").alias("_covered")).scalar()
+    zones = zones.withColumn("share", F.col("cells") / total)
     if names is not None:
-        zones = zones.join(names.select("site_id", "name"), "site_id", "left")
+        keys = [*[c for c in by if c in names.columns], "site_id"]
+        zones = zones.join(names.select(*keys, "name"), keys, "left")
     else:
         zones = zones.withColumn("name", F.lit(None).cast("string"))
     default = F.concat(F.lit("Site "), (F.col("site_id") + 1).cast("string"))
-    return zones.withColumn(
-        "name", F.coalesce(F.nullif("name", F.lit("")), default)
-    ).orderBy(F.desc("cells"), "site_id")
+    out = zones.select(
+        *by, "site_id", "cells", "contested", "share",
+        F.coalesce(F.nullif("name", F.lit("")), default).alias("name"),
+    )
+    return out.orderBy(*by, F.desc("cells"), "site_id")
 
 
 def cliff_band(grid: DataFrame, mode: str = "Analogue") -> DataFrame:

@@ -226,14 +226,16 @@ def sample_tiles(
     """Bilinear sample of map-tile pixels (z, px, py, value) at zoom ``z``.
 
     Pixel indices are clamped to the pixels present at that zoom; a missing pixel
-    adds nothing (0 m). One row per corner is joined and the weights are summed.
+    adds nothing (0 m). One row per corner is joined and the weights are summed. Equal
+    positions are sampled once and joined back, so repeated points all stay and a crowded
+    spot costs four pixel rows.
     """
     at = tile_xy("lng", "lat", F.lit(z))
     level = pixels.where(F.col("z") == z)
     box = level.agg(
         F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")
     )
-    keyed = points.withColumn("_k", F.struct(*points.columns))
+    spots = points.select("lng", "lat").distinct()
     fx, fy = at["x"] * tile_px, at["y"] * tile_px
     dx, dy = fx - F.floor(fx), fy - F.floor(fy)
     corners = F.array(
@@ -247,19 +249,20 @@ def sample_tiles(
             for i in (0, 1)
         ]
     )
-    rows = keyed.select("_k", F.explode(corners).alias("c")).join(F.broadcast(box))
+    rows = spots.select("lng", "lat", F.explode(corners).alias("c")).join(F.broadcast(box))
     rows = rows.select(
-        "_k",
+        "lng",
+        "lat",
         F.least(F.greatest("c.px", "x0"), "x1").alias("px"),
         F.least(F.greatest("c.py", "y0"), "y1").alias("py"),
         F.col("c.w").alias("w"),
     )
     got = rows.join(level.select("px", "py", "value"), ["px", "py"], "left")
-    return (
-        got.groupBy("_k")
-        .agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias(out))
-        .select("_k.*", out)
+    sampled = got.groupBy(F.col("lng").alias("_lng"), F.col("lat").alias("_lat")).agg(
+        F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias(out)
     )
+    same = points["lng"].eqNullSafe(sampled["_lng"]) & points["lat"].eqNullSafe(sampled["_lat"])
+    return points.join(sampled, same, "left").drop("_lng", "_lat")
 
 
 def sample_elevation(points: DataFrame, rasters, out: str = "elev_m") -> DataFrame:

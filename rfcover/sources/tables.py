@@ -47,9 +47,29 @@ def measurements_from_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_measurements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Measurement CSV files with a header row."""
-    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return measurements_from_rows(rows)
+    """Measurement CSV files, each with a header row of its own.
+
+    Files are grouped by their header line and every group is read under its own header, so
+    files may name or order their columns differently. Files without a line are skipped.
+    Rejected rows keep the text columns of their file.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("no"),
+    )
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "no").alias("header"))
+    file = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    # A list of file names, such as the driver holds for any scan.
+    groups = first.groupBy(F.rtrim("header").alias("header")).agg(F.collect_list(file).alias("files")).orderBy("header").collect()
+    if not groups:
+        raise ValueError(HEADER_ERROR)
+    good = bad = None
+    for g in groups:
+        rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(g.files)
+        ok, rejected = measurements_from_rows(rows)
+        good = ok if good is None else good.unionByName(ok)
+        bad = rejected if bad is None else bad.unionByName(rejected, allowMissingColumns=True)
+    return good, bad
 
 
 def cells_from_rows(rows: DataFrame, *, bbox=None, mcc=None, max_n: int | None = None, order: str | None = None) -> DataFrame:
@@ -99,10 +119,11 @@ def upsert_index(index: DataFrame, entries: DataFrame) -> DataFrame:
 
 def write_cell_snapshot(cells: DataFrame, path: str, index_path: str, generated: str | None = None) -> None:
     """Write the cells by region (only the given regions are replaced) and bring the
-    index up to date. The index goes to a new folder per call, the newest one counts."""
+    index up to date. The index goes to a new folder per call, the newest one counts; its
+    ``file`` is the region's folder below ``path``. :func:`read_snapshot_cells` reads both."""
     spark = cells.sparkSession
     cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region").json(path)
-    entries = snapshot_index(cells, generated)
+    entries = snapshot_index(cells, generated).withColumn("file", F.concat(F.lit("region="), F.col("region")))
     old = read_snapshot_index(spark, index_path)
     merged = entries.withColumn("version", F.lit(1)) if old is None else upsert_index(
         old.drop("version"), entries
@@ -110,6 +131,14 @@ def write_cell_snapshot(cells: DataFrame, path: str, index_path: str, generated:
     merged.write.mode("append").partitionBy("version").json(index_path)
 
 
+def read_snapshot_cells(spark: SparkSession, path: str, index_path: str) -> DataFrame:
+    """Cells as :func:`write_cell_snapshot` wrote them, with the time of their region's snapshot."""
+    schema = "lat double, lon double, radio string, mcc int, net int, range double, samples bigint, region string"
+    cells = spark.read.schema(schema).json(path)
+    index = read_snapshot_index(spark, index_path)
+    return cells.join(index.select("region", "generated"), "region")
+
+
 def read_snapshot_index(spark: SparkSession, index_path: str) -> DataFrame | None:
     """Newest version of the index, or None when there is none yet."""
     schema = (

@@ -20,6 +20,15 @@ def test_measurement_csv(spark, tmp_path):
         T.measurements_from_rows(spark.createDataFrame([("1", "2")], "lat string, foo string"))
 
 
+def test_measurement_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a b+c.csv").write_text("lat,lon,dBm\n52,5,-90\n")
+    (tmp_path / "b.csv").write_text("dBm,lat,lon\n-80,51,4\n5,51,4\n")
+    (tmp_path / "c.csv").write_text("")
+    good, bad = T.read_measurements(spark, str(tmp_path))
+    assert sorted((r.lat, r.lon, r.dbm) for r in good.collect()) == [(51.0, 4.0, -80.0), (52.0, 5.0, -90.0)]
+    assert bad.count() == 1
+
+
 def test_cell_snapshot_round_trip(spark, tmp_path):
     cells = spark.createDataFrame(
         [("NL", 52.0, 5.0, "LTE", 204, 8), ("BE", 50.5, 4.0, "NR", 206, 1)], "region string, lat double, lon double, radio string, mcc int, net int"
@@ -29,7 +38,9 @@ def test_cell_snapshot_round_trip(spark, tmp_path):
     T.write_cell_snapshot(cells.where("region = 'NL'").unionByName(cells.where("region = 'NL'")), out, index, "2026-02-01")
     got = {r.region: (r["count"], r.generated) for r in T.read_snapshot_index(spark, index).collect()}
     assert got == {"NL": (2, "2026-02-01"), "BE": (1, "2026-01-01")}
-    assert spark.read.json(out).count() == 3
+    rows = sorted((r.region, r.lat, r.lon, r.radio, r.mcc, r.net, r.generated) for r in T.read_snapshot_cells(spark, out, index).collect())
+    assert rows == [("BE", 50.5, 4.0, "NR", 206, 1, "2026-01-01")] + 2 * [("NL", 52.0, 5.0, "LTE", 204, 8, "2026-02-01")]
+    assert all((tmp_path / "cells" / r.file).is_dir() for r in T.read_snapshot_index(spark, index).collect())
 
 
 KML = """<?xml version="1.0"?><kml><Document><Placemark><name>A</name><Point><coordinates>5.1,52.1,0</coordinates></Point></Placemark>
@@ -64,6 +75,18 @@ def test_mission_round_trip(spark, tmp_path):
     assert again.first().mission == m
 
 
+def test_mission_fields_of_other_types(spark):
+    body = {"sites": [{"lat": "52", "lng": 5, "name": 7}, "x", 3, None, {"lat": {}, "lng": 1}], "points": "none", "route": {"lat": 1}, "power": {"hours": "72"},
+            "aoi": [1], "teams": [{"name": "a", "members": "4"}], "coverage": 5, "opDatetime": 12}
+    docs = [(str(i), json.dumps({"format": D.MISSION_MARKER, "version": "1", "mission": m})) for i, m in enumerate([body, "text", None, [1]])]
+    ok, bad = D.parse_missions(spark.createDataFrame(docs, "doc_id string, value string"))
+    m = {r.doc_id: r.mission for r in ok.collect()}
+    assert len(m) == 4 and bad.count() == 0
+    assert [(s.lat, s.lng, s.name) for s in m["0"].sites] == [(52.0, 5.0, "7")] and m["0"].points == [] and m["0"].route == [] and m["0"].aoi is None
+    assert m["0"].power.hours == 72 and m["0"].teams[0].members == 4 and m["0"].coverage is None and m["0"].op_datetime == "12"
+    assert all(m[k].sites == [] for k in "123")
+
+
 COORDS = [
     ("52.3676, 4.9041", 52.3676, 4.9041), ("33.9249S 18.4241E", -33.9249, 18.4241), ("-1.95 30.06", -1.95, 30.06),
     ("52°22'03\"N 4°54'15\"E", 52.3675, 4.904167), ("31UFU 91733 09227", None, None), ("34H 261877 6243185", -33.9249, 18.4241),
