@@ -113,7 +113,7 @@ def local_maxima(spark, d):
 
 @query("candidate_sites")
 def candidate_sites(spark, d):
-    out = RC.candidate_sites(_runs(spark, d), elevation(spark, d))
+    out = RC.candidate_sites(_runs(spark, d), elevation(spark, d), top=30)
     return out.select("run_id", big("candidate"), r("lat", 6), r("lng", 6), r("elev_m"), "label")
 
 
@@ -249,7 +249,7 @@ SELECT run_id, rank, cells, {R('lng', 5)} AS lng, {R('lat', 5)} AS lat, {R('km2'
 def dead_zones(spark, d):
     """Zones below class 1, so that every run has some."""
     grid = run_grid(spark, d).where("inside").withColumn("cls", F.when(F.col("cls") > 1, 3).otherwise(F.col("cls")))
-    out = C.dead_zones(grid)
+    out = C.dead_zones(grid, top=5)
     return out.select("run_id", big("rank"), big("cells"), r("lng", 5), r("lat", 5), r("area_km2", 3))
 
 

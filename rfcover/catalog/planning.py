@@ -489,7 +489,7 @@ sc AS (SELECT query_id, section, ordinal, label, q, CASE WHEN q = '' THEN 0e0 EL
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, ordinal) AS rank FROM sc WHERE score > 0 OR q = '')
 SELECT query_id, section, rank, label, score FROM rk WHERE rank <= 6 UNION ALL SELECT query_id, 'Go to', 1, query, 0e0 FROM qs WHERE query = '52.5, 4.9'""")
 def search_labels(spark, d):
-    out = S.search_labels(sql(spark, d, _ITEMS), sql(spark, d, _QUERIES))
+    out = S.search_labels(sql(spark, d, _ITEMS), sql(spark, d, _QUERIES), top=6)
     return out.select("query_id", "section", big("rank"), "label", "score")
 
 

@@ -370,8 +370,8 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dead_zones(cells: DataFrame, by=("run_id",), top: int = 5) -> DataFrame:
-    """Largest 8-connected zones of uncovered cells per run.
+def dead_zones(cells: DataFrame, by=("run_id",), top: int | None = None) -> DataFrame:
+    """8-connected zones of uncovered cells per run, largest first; ``top`` keeps so many.
 
     ``cells`` holds every in-area cell: the ``by`` columns, row, col, lat, lng, cls,
     cell_w and cell_h (degrees). Cells are first folded into horizontal runs, so the
@@ -402,8 +402,7 @@ def dead_zones(cells: DataFrame, by=("run_id",), top: int = 5) -> DataFrame:
         )
     )
     w = Window.partitionBy(*by).orderBy(F.desc("area_km2"), F.asc("_first"))
-    return (
-        zones.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= top)
-        .select(*by, "rank", "cells", "lng", "lat", "area_km2")
-    )
+    ranked = zones.withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    return ranked.select(*by, "rank", "cells", "lng", "lat", "area_km2")

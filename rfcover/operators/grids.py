@@ -80,9 +80,9 @@ def resample_route(routes: DataFrame, step_m: float = 250.0, by: str = "route_id
     return samples.unionByName(last)
 
 
-def tile_cover(boxes: DataFrame, zooms, max_tiles: int = 600, key: str = "box_id") -> DataFrame:
-    """Tiles of every zoom over each box, coarse zooms first; the first zoom that
-    breaks the budget ends the list. ``max_tiles`` None keeps all."""
+def tile_cover(boxes: DataFrame, zooms, max_tiles: int | None = None, key: str = "box_id") -> DataFrame:
+    """Tiles of every zoom over each box, coarse zooms first. With ``max_tiles`` the first zoom
+    that breaks the budget ends the list."""
     b = F.col("box")
     levels = boxes.select(key, "box", F.explode(F.array(*[F.lit(int(z)) for z in sorted(zooms)])).alias("z"))
     nw, se = tile_xy(b["west"], b["north"], F.col("z")), tile_xy(b["east"], b["south"], F.col("z"))

@@ -71,7 +71,7 @@ def thin_by_distance(points: DataFrame, by: str = "run_id", height: str = "elev_
     return p.join(kept, [by, "_id"], "left_semi").drop("_id")
 
 
-def candidate_sites(runs: DataFrame, elevation=None, *, dim: int = 64, top: int | None = 30, by: str = "run_id") -> DataFrame:
+def candidate_sites(runs: DataFrame, elevation=None, *, dim: int = 64, top: int | None = None, by: str = "run_id") -> DataFrame:
     """Candidate masts of each run: high ground of the padded box, and its centre.
 
     Runs: run_id, box, center_lat, center_lng. ``candidate`` numbers them in the order

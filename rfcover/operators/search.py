@@ -31,8 +31,9 @@ def match_score(query, label, keywords=None) -> Column:
     return F.when(q == "", 0.0).otherwise(score)
 
 
-def search_labels(items: DataFrame, queries: DataFrame, top: int = 6) -> DataFrame:
-    """Best items per query and section; an empty query lists the first of each section.
+def search_labels(items: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
+    """Matching items per query and section, best first; an empty query lists each section.
+    ``top`` keeps so many.
 
     Items: section, ordinal, label, keywords. Queries: query_id, query. Every item is
     scored against every query, so the queries should be the few; ranks are cut on
@@ -43,7 +44,9 @@ def search_labels(items: DataFrame, queries: DataFrame, top: int = 6) -> DataFra
     scored = items.join(text, F.lit(True)).withColumn("score", match_score("_q", "label", "keywords"))
     scored = scored.where((F.col("score") > 0) | (F.col("_q") == ""))
     w = Window.partitionBy("query_id", "section").orderBy(F.desc("score"), "ordinal")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
     ranked = ranked.select("query_id", "section", "rank", "label", "score", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
     goto = q.where(F.col("_p").isNotNull()).select(
         "query_id", F.lit("Go to").alias("section"), F.lit(1).alias("rank"), F.trim("query").alias("label"), F.lit(0.0).alias("score"),

@@ -59,12 +59,13 @@ def cells_to_towers(cells: DataFrame, order: str = "cell_id", by=()) -> DataFram
 
 
 def select_towers(
-    towers: DataFrame, requests: DataFrame, max_n: int | None = 80, order: str = "cell_id"
+    towers: DataFrame, requests: DataFrame, max_n: int | None = None, order: str = "cell_id"
 ) -> DataFrame:
     """Per request: towers of its radio inside its box, nearest to its centre first.
 
     Requests: request_id, radio (NULL takes all), box (NULL takes all), center_lat,
-    center_lng (NULL keeps the input order). Nearness is in squared degrees.
+    center_lng (NULL keeps the input order). Nearness is in squared degrees. ``max_n``
+    keeps so many per request.
     """
     t = towers.select(
         F.col(order), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"),
