@@ -252,7 +252,7 @@ def _mission_docs(spark, d):
 
 
 @query("read_missions", """
-SELECT CAST(mission_id AS VARCHAR) AS doc_id, CASE mission_id % 5 WHEN 1 THEN 'Not a mission file (missing format marker).' WHEN 2 THEN 'Mission file is v2, saved by a newer version — this reader reads up to v1.' WHEN 3 THEN 'Malformed JSON — could not read the mission file.' END AS error,
+SELECT CAST(mission_id AS VARCHAR) AS doc_id, CASE mission_id % 5 WHEN 1 THEN 'The format marker is absent or unknown.' WHEN 2 THEN 'Version 2 is newer than 1, the last that this reader knows.' WHEN 3 THEN 'The text is not JSON.' END AS error,
  CASE WHEN mission_id % 5 NOT IN (1, 2, 3) THEN CAST(1 AS BIGINT) END AS sites, CASE WHEN mission_id % 5 NOT IN (1, 2, 3) THEN hours * 100e0 END AS radius_m FROM {fx_missions}""")
 def read_missions(spark, d):
     ok, bad = D.parse_missions(_mission_docs(spark, d))

@@ -103,7 +103,7 @@ def _five(x: str) -> str:
 WITH s AS (SELECT radio_id, label, power_w, radio_id % 70 / 10e0 AS kg, default_freq_mhz AS f FROM {{fx_radios}})
 SELECT radio_id, {R(_five('greatest(500e0, least(50000e0, 6000e0 * CASE WHEN f < 30 THEN 4 WHEN f < 300 THEN 1 WHEN f < 1000 THEN 0.6e0 ELSE 0.3e0 END * sqrt(power_w / 5))) / 50000 * 5'))} AS range_score,
  {R(_five('power_w / 20 * 5'))} AS power_score, {R('CASE WHEN kg < 0.5 THEN 5e0 WHEN kg > 5 THEN 1e0 ELSE ' + _five('5 - (kg - 0.5e0) / 4.5e0 * 4') + ' END')} AS weight_score,
- CASE WHEN regexp_matches(label, '(?i)mil[-\\s]?spec|mil[-\\s]?std|810|ip6[0-9]') THEN 5e0 ELSE 3e0 END AS ruggedness_score FROM s""")
+ CASE WHEN regexp_matches(label, '{RD.RUGGED}') THEN 5e0 ELSE 3e0 END AS ruggedness_score FROM s""")
 def radio_scores(spark, d):
     s = frame(spark, d, "fx_radios").withColumn("weight_kg", F.col("radio_id") % 70 / 10)
     return RD.radio_scores(s, "radio_id").select("radio_id", r("range_score"), r("power_score"), r("weight_score"), "ruggedness_score")
@@ -138,8 +138,8 @@ sc AS (SELECT a.*, nd.*, urban_frac, reach, {_BAND} AS band, floor(
 rk AS (SELECT *, row_number() OVER (PARTITION BY mission_id, node_no ORDER BY score DESC, radio_id) AS k FROM sc),
 asg AS (SELECT mission_id, node_no, any_value(node) AS node, any_value(node_label) AS node_label, any_value(supply) AS supply, max(CASE WHEN k = 1 THEN radio_id END) AS radio_id, max(CASE WHEN k = 1 THEN label END) AS radio_label, max(CASE WHEN k = 1 THEN score END) AS score,
  max(CASE WHEN k = 1 THEN label || ' — ' || band || ' ' || CASE WHEN role IN (p1, p2, p3) THEN role ELSE '(' || role || ')' END || '; ' || CAST(power_w AS BIGINT) || ' W'
-  || CASE WHEN supply <> 'battery' AND power_w >= 25 THEN '; high power suits a fixed/vehicle node' WHEN supply = 'battery' AND power_w <= 8 THEN '; low draw suits a manpack' ELSE '' END
-  || CASE WHEN urban_frac >= 0.25e0 AND band = 'UHF' THEN '; UHF favoured in built-up terrain' ELSE '' END || CASE WHEN reach > 30 AND band = 'VHF' THEN '; VHF favoured for the longer reach' ELSE '' END || '.' END) AS why,
+  || CASE WHEN supply <> 'battery' AND power_w >= 25 THEN '; strong enough for a mast or a vehicle' WHEN supply = 'battery' AND power_w <= 8 THEN '; little current, as a carried set needs' ELSE '' END
+  || CASE WHEN urban_frac >= 0.25e0 AND band = 'UHF' THEN '; UHF for the buildings here' ELSE '' END || CASE WHEN reach > 30 AND band = 'VHF' THEN '; VHF for the distance' ELSE '' END || '.' END) AS why,
  coalesce(concat_ws(', ', max(CASE WHEN k = 2 THEN label END), max(CASE WHEN k = 3 THEN label END)), '') AS alternatives
  FROM rk WHERE k <= 3 GROUP BY mission_id, node_no),
 assigned AS (SELECT m.mission_id, nd.node_no, nd.node, nd.node_label, nd.supply AS node_supply, radio_id, radio_label, coalesce(score, 0e0) AS score, coalesce(why, '{RD.NO_RADIOS}') AS why, coalesce(alternatives, '') AS alternatives
@@ -154,11 +154,11 @@ def assign_roles(spark, d):
 MIX_SQL = """
 mi AS (SELECT mission_id, max_site_distance_km AS site, ruggedness_m >= 120 AS rugged, urban_frac AS u, coverage_frac AS cov, point_count AS pts, greatest(max_site_distance_km, route_length_km, sqrt(aoi_area_km2)) AS reach FROM {fx_missions}),
 cd AS (
- SELECT mission_id, 0 AS no, 'VHF' AS band, 60 - u * 30 AS score, 'VHF — ground-mobile workhorse: best range over vegetation and rolling terrain' || CASE WHEN rugged THEN ', though this terrain is rugged (height/relays matter)' ELSE '' END || '.' AS why FROM mi
- UNION ALL SELECT mission_id, 1, 'UHF', 40 + u * 80 + CASE WHEN site > 0 AND site < 3 THEN 20 ELSE 0 END, CASE WHEN u >= 0.25e0 THEN 'UHF — ' || CAST(floor(u * 100 + 0.5e0) AS BIGINT) || '% of demand sits in built-up terrain; better building penetration on short paths.' ELSE 'UHF — short site-to-site paths favour UHF; better in/around structures.' END FROM mi WHERE u >= 0.25e0 OR (site > 0 AND site < 3)
- UNION ALL SELECT mission_id, 2, 'HF NVIS', 70 + least(reach, 200e0) / 10 + CASE WHEN rugged THEN 8 ELSE 0 END, 'HF NVIS — longest required path ≈ ' || CASE WHEN reach >= 100 THEN printf('%.0f', reach) ELSE printf('%.1f', reach) END || ' km exceeds VHF/UHF line-of-sight; NVIS fills beyond-LOS' || CASE WHEN rugged THEN ' over rugged terrain' ELSE '' END || '. Separate module — no coverage raster in this milestone.' FROM mi WHERE reach > 50
- UNION ALL SELECT mission_id, 3, 'LoRa', 45e0, 'LoRa — ' || pts || ' fixed points suit a low-rate telemetry / tracking overlay alongside voice.' FROM mi WHERE pts >= 8
- UNION ALL SELECT mission_id, 4, 'Satcom', CASE WHEN cov > 0 AND cov < 0.5e0 THEN 66e0 ELSE 30e0 END, CASE WHEN cov > 0 AND cov < 0.5e0 THEN 'Satcom — only ' || CAST(floor(cov * 100 + 0.5e0) AS BIGINT) || '% of demand reached terrestrially; satcom is the assured Emergency leg and the primary where terrain blocks all bands.' ELSE 'Satcom — assured Emergency leg; primary where terrain blocks all terrestrial bands.' END FROM mi),
+ SELECT mission_id, 0 AS no, 'VHF' AS band, 60 - u * 30 AS score, 'VHF: reaches furthest across hills and woods, so it carries the ground net' || CASE WHEN rugged THEN '; steep ground here calls for high masts or relays' ELSE '' END || '.' AS why FROM mi
+ UNION ALL SELECT mission_id, 1, 'UHF', 40 + u * 80 + CASE WHEN site > 0 AND site < 3 THEN 20 ELSE 0 END, CASE WHEN u >= 0.25e0 THEN 'UHF: ' || CAST(floor(u * 100 + 0.5e0) AS BIGINT) || '% of the demand lies among buildings, which UHF enters more easily.' ELSE 'UHF: the sites lie close together, where a shorter wave does well.' END FROM mi WHERE u >= 0.25e0 OR (site > 0 AND site < 3)
+ UNION ALL SELECT mission_id, 2, 'HF NVIS', 70 + least(reach, 200e0) / 10 + CASE WHEN rugged THEN 8 ELSE 0 END, 'HF NVIS: the longest path needed is about ' || CASE WHEN reach >= 100 THEN printf('%.0f', reach) ELSE printf('%.1f', reach) END || ' km, more than VHF or UHF can see; the sky wave closes the gap' || CASE WHEN rugged THEN ' behind the ridges' ELSE '' END || '. It is planned apart from coverage.' FROM mi WHERE reach > 50
+ UNION ALL SELECT mission_id, 3, 'LoRa', 45e0, 'LoRa: ' || pts || ' fixed points can report position and status at a low rate beside the voice net.' FROM mi WHERE pts >= 8
+ UNION ALL SELECT mission_id, 4, 'Satcom', CASE WHEN cov > 0 AND cov < 0.5e0 THEN 66e0 ELSE 30e0 END, CASE WHEN cov > 0 AND cov < 0.5e0 THEN 'Satcom: no more than ' || CAST(floor(cov * 100 + 0.5e0) AS BIGINT) || '% of the demand is covered from the ground; satellite links serve emergencies and blocked places.' ELSE 'Satcom: the link for emergencies, and for places that no ground station covers.' END FROM mi),
 rkd AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(CASE WHEN band IN ('Satcom', 'HF NVIS') THEN 0 ELSE 1 END) OVER (PARTITION BY mission_id ORDER BY score DESC, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cd WINDOW w AS (PARTITION BY mission_id ORDER BY score DESC, no)),
 mix AS (SELECT mission_id, band, rank, CASE WHEN band = 'Satcom' THEN 'Emergency' WHEN band = 'HF NVIS' THEN 'Contingency' WHEN before = 0 THEN 'Primary' WHEN before = 1 THEN 'Alternate' ELSE 'Contingency' END AS pace, why FROM rkd)"""
 
@@ -200,11 +200,11 @@ nm AS (SELECT *, CASE WHEN s1 = 'gap' THEN '—' ELSE b1 END AS n1, CASE WHEN c2
 @query("pace_plan", f"""
 WITH {PACE_SQL}
 SELECT mission_id, topology, ov AS overlays, gp AS gaps,
- CASE WHEN total <= 0 THEN 'Standalone net — no fixed or recommended mast yet; talk-in modelled at 1.5 m. Place a site or run site recommendation to anchor the network.'
-  ELSE CASE WHEN total = 1 THEN 'Single hub' ELSE total || '-site relay network' END || CASE WHEN fixed_sites > 0 THEN ' · ' || fixed_sites || ' fixed' ELSE '' END || CASE WHEN recommended_sites > 0 THEN ' · ' || recommended_sites || ' recommended' ELSE '' END || '; talk-in (handheld → mast) modelled at 1.5 m as the binding link.' END AS note,
+ CASE WHEN total <= 0 THEN 'No mast is placed or recommended, so sets speak directly, modelled at 1.5 m above ground.'
+  ELSE CASE WHEN total = 1 THEN 'One site' ELSE total || ' relay sites' END || CASE WHEN fixed_sites > 0 THEN ' · ' || fixed_sites || ' fixed' ELSE '' END || CASE WHEN recommended_sites > 0 THEN ' · ' || recommended_sites || ' recommended' ELSE '' END || '; the path from a handheld up to the mast decides, modelled at 1.5 m.' END AS note,
  concat_ws(' ', 'Primary ' || n1 || CASE WHEN total > 0 THEN ' over a ' || topology ELSE '' END || ', Alternate ' || n2 || ', Contingency ' || n3 || ', Emergency ' || n4 || '.',
-  'Last coverage run reached ' || CAST(floor(coverage_frac * 100 + 0.5e0) AS BIGINT) || '% of demand' || CASE WHEN terrain THEN ' (terrain-aware).' ELSE ' (flat estimate).' END,
-  CASE WHEN ov <> '' THEN 'Telemetry overlay: ' || ov || '.' END, CASE WHEN gp <> '' THEN 'Unfilled: ' || gp || '.' END, 'Planning-grade, not survey-grade.') AS summary
+  'The latest coverage run serves ' || CAST(floor(coverage_frac * 100 + 0.5e0) AS BIGINT) || '% of demand' || CASE WHEN terrain THEN ' (with terrain).' ELSE ' (without terrain).' END,
+  CASE WHEN ov <> '' THEN 'Besides: ' || ov || '.' END, CASE WHEN gp <> '' THEN 'Open: ' || gp || '.' END, 'For planning only.') AS summary
 FROM nm""")
 def pace_plan(spark, d):
     m = frame(spark, d, "fx_missions")
@@ -218,12 +218,12 @@ def pace_plan(spark, d):
 @query("plan_tables", f"""
 WITH {PACE_SQL},
 cw AS (SELECT *, CASE cell_for_pace WHEN 'alternate' THEN 'Alternate' ELSE 'Contingency' END AS ct, CASE ew_threat WHEN 'high' THEN '{PA.CELL_ROLE['high']}' WHEN 'medium' THEN '{PA.CELL_ROLE['medium']}' ELSE '{PA.CELL_ROLE['other']}' END AS cr FROM nm),
-cx AS (SELECT *, CASE WHEN ew_threat = 'high' THEN 'High EW threat: commercial cellular excluded; encrypted private/tactical LTE only. ELINT/jamming risk is high — use as last resort ' || ct || ' path.' ELSE 'Cellular ' || lower(ct) || ' path — ' || cr || '. EW threat: ' || ew_threat || '.' END AS cy FROM cw)
+cx AS (SELECT *, CASE WHEN ew_threat = 'high' THEN 'Under a high EW threat public networks are out and private encrypted LTE remains, as the last choice for the ' || ct || ' path.' ELSE 'Cellular for the ' || lower(ct) || ' path: ' || cr || '. EW threat is ' || ew_threat || '.' END AS cy FROM cw)
 SELECT mission_id, 'Primary' AS tier, b1 AS band, s1 AS status, coalesce(w1, '{_g('Primary')}') AS why FROM cx
 UNION ALL SELECT mission_id, 'Alternate', CASE WHEN c2 THEN cb WHEN s2 = 'ok' THEN b2 WHEN s2 = 'asset' THEN 'UAS relay' END, CASE WHEN c2 THEN 'asset' ELSE s2 END,
- CASE WHEN c2 THEN cy WHEN s2 = 'ok' THEN w2 WHEN s2 = 'asset' THEN 'UAS airborne relay' || {_AIR_AT} || ': lifts the repeater above terrain shadow for an elevated Alternate path; endurance / payload limited — see the drone module.' ELSE '{_g('Alternate')}' END FROM cx
+ CASE WHEN c2 THEN cy WHEN s2 = 'ok' THEN w2 WHEN s2 = 'asset' THEN 'Drone relay' || {_AIR_AT} || ': carries the Alternate path over obstacles for as long as its battery lasts.' ELSE '{_g('Alternate')}' END FROM cx
 UNION ALL SELECT mission_id, 'Contingency', CASE WHEN c3 THEN cb WHEN s3 = 'separate' THEN 'HF NVIS' WHEN s3 = 'asset' THEN 'UAS relay' END, CASE WHEN c3 THEN 'asset' ELSE s3 END,
- CASE WHEN c3 THEN cy WHEN s3 = 'separate' THEN hf WHEN s3 = 'asset' THEN 'UAS airborne relay' || {_AIR_AT} || ': lifts the repeater above terrain shadow for an elevated Contingency path; endurance / payload limited — see the drone module.' ELSE '{_g('Contingency')}' END FROM cx
+ CASE WHEN c3 THEN cy WHEN s3 = 'separate' THEN hf WHEN s3 = 'asset' THEN 'Drone relay' || {_AIR_AT} || ': carries the Contingency path over obstacles for as long as its battery lasts.' ELSE '{_g('Contingency')}' END FROM cx
 UNION ALL SELECT mission_id, 'Emergency', CASE WHEN sat IS NOT NULL THEN 'Satcom' END, s4, coalesce(sat, '{_g('Emergency')}') FROM cx""")
 def plan_tables(spark, d):
     """The report's tier table."""
