@@ -16,7 +16,7 @@ from rfcover.llm.archive import read_archives, write_archives
 from rfcover.llm.contamination import contained_windows
 from rfcover.llm.packing import pack_descriptions
 from rfcover.llm.personal import personal_spans, redact_descriptions
-from rfcover.llm.quality import quality_rules
+from rfcover.llm.quality import count_grams, quality_rules
 from rfcover.llm.sharding import shard_features
 from rfcover.llm.similar import similar_descriptions
 from rfcover.llm.token_files import Shard, read_token_files, shard_bytes, write_token_files
@@ -172,6 +172,42 @@ def test_quality_bands(spark):
     assert all(abs(whole[k] - one[k]) < 1e-4 * one[k] for k in one)
 
 
+def ordered_prose(rng, n=120):
+    """Text whose words follow one another: each word has three that may come next."""
+    w, out = int(rng.integers(0, 150)), []
+    for _ in range(n):
+        out.append(f"s{w}")
+        w = (7 * w + 11 * int(rng.integers(0, 3)) + 1) % 150
+    return out
+
+
+def test_quality_model_grows_and_sees_word_order(spark):
+    rng = np.random.default_rng(4)
+    clean = [(i, " ".join(ordered_prose(rng)), "en") for i in range(400)]
+    shuffled = [(1000 + i, " ".join(rng.permutation(ordered_prose(rng))), "en") for i in range(10)]
+    noised = [(2000 + i, " ".join(w + "%&$#"[int(rng.integers(0, 4))] * 3 for w in ordered_prose(rng)), "en") for i in range(10)]
+    df = spark.createDataFrame(clean + shuffled + noised, "feature_id long, description string, lang string")
+    kept = {r["feature_id"]: r["kept"] for r in rows_of(quality_rules(df))}
+    assert not any(kept[k] for k, *_ in shuffled + noised)
+    assert sum(kept[k] for k, *_ in clean) >= 0.97 * len(clean)
+
+    # ten times the text, ten times the grams
+    texts = lambda n: spark.createDataFrame([(i, " ".join(f"t{x}" for x in rng.integers(0, 3000, 200)), "en", i) for i in range(n)], "feature_id long, description string, lang string, row_key long")
+    few, many = (count_grams(texts(n).select("feature_id", "description", "row_key", "lang")).count() for n in (20, 200))
+    assert many > 9 * few
+
+
+def test_quality_bands_of_boilerplate_and_copies(spark):
+    rng = np.random.default_rng(6)
+    stock = [" ".join(f"x{v}" for v in rng.integers(0, 5000, 60)) for _ in range(3)]
+    rows = [(i, " ".join(f"t{v}" for v in np.minimum(rng.zipf(1.3, 120), 4000)), "en") for i in range(400)]
+    copies = [(500 + i, rows[i][1] + " changed", "en") for i in range(40)]
+    boiler = [(1000 + i, f"page{i} " + " ".join(stock[j] for j in rng.permutation(3)), "en") for i in range(24)]
+    kept = {r["feature_id"]: r["kept"] for r in rows_of(quality_rules(spark.createDataFrame(rows + copies + boiler, "feature_id long, description string, lang string")))}
+    assert not any(kept[k] for k, *_ in boiler)
+    assert all(kept[k] for k, *_ in copies) and all(kept[i] for i in range(40)) and sum(kept[i] for i in range(400)) >= 392
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(name):
     path = public_tokenizers.path(name)
