@@ -324,3 +324,21 @@ def test_personal(spark, features, empty):
     red = {r["feature_id"]: r["redacted"] for r in rows_of(redact_descriptions(df))}
     assert red[0] is None and red[1] == "" and "555-0147" not in red[11] and "[email]" in red[11] and "[card]" in red[104]
     assert personal_spans(empty).count() == 0 and redact_descriptions(empty).count() == 0
+
+
+def test_personal_beyond_the_given_form(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda: " ".join(rng.choice(["relay", "mast", "valley", "the", "of", "harbour"], 12))
+    private = [
+        "api_key=9f8e7d6c5b4a39281706f5e4d3c2b1a7", "password=Winter99Blue", "202-555-0188", "457-55-5462", "DE44500105175407324931", "GB33 BUKB 2020 1555 5555 55",
+        "mary.s (at) radio.example.com", "client_secret: 'q8Zr27LmX0vT55kP'",
+    ]
+    public = ["2023-11-05 12", "30 000 000", "linux-x86_64-release-77"]
+    texts = [f"{prose()} {x} {prose()}" for x in private + public]
+    hexes = [f'{prose()} token = "{"".join(rng.choice(list("0123456789abcdef"), 40))}" {prose()} +1 202 555 01{i:02d} {prose()} 2021-03-04 10 {prose()}' for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts + hexes)), "feature_id long, description string")
+    red = {r["feature_id"]: r["redacted"] for r in rows_of(redact_descriptions(df))}
+    values = ["9f8e7d6c5b4a39281706f5e4d3c2b1a7", "Winter99Blue", *private[2:7], "q8Zr27LmX0vT55kP"]
+    assert [v for i, v in enumerate(values) if v in red[i]] == []
+    assert [x for i, x in enumerate(public, len(private)) if x not in red[i]] == []
+    assert all('token = "[secret]"' in red[len(texts) + i] for i in range(40))
