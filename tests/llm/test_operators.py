@@ -342,3 +342,16 @@ def test_personal_beyond_the_given_form(spark):
     assert [v for i, v in enumerate(values) if v in red[i]] == []
     assert [x for i, x in enumerate(public, len(private)) if x not in red[i]] == []
     assert all('token = "[secret]"' in red[len(texts) + i] for i in range(40))
+
+
+def test_personal_unions(spark):
+    from rfcover.llm.personal import _unions
+
+    spans = [("c", 9, 30), ("a", 0, 5), ("b", 4, 10), ("d", 40, 44), ("e", 44, 50), ("f", 40, 43)]
+    got = spark.createDataFrame([(spans,), ([],)], "p array<struct<kind:string,start:int,stop:int>>").select(_unions(F.col("p")).alias("u")).collect()
+    assert [tuple(s) for s in got[0].u] == [("a", 0, 30), ("d", 40, 44), ("e", 44, 50)] and got[1].u == []
+
+    # a secret with a phone number inside goes whole
+    texts = [f'token = "0a1b2c3d4e5f6071{i:02d}+31201234567{i:02d}9ab8c7d6" on the mast' for i in range(30)]
+    red = rows_of(redact_descriptions(spark.createDataFrame(list(enumerate(texts)), "feature_id long, description string")))
+    assert all("0a1b2c3d" not in r["redacted"] and "c7d6" not in r["redacted"] for r in red)
