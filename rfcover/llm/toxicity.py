@@ -90,11 +90,10 @@ def fit_machine(terms: np.ndarray, first: np.ndarray, labels: np.ndarray, bits:
 
 
 def train_toxicity(labelled: DataFrame, bits: int = BITS, factors: int = FACTORS, sample: int = SAMPLE) -> dict:
-    """Fit the machine on at most ``sample`` labelled descriptions, half of each label where there are enough.
+    """Fit the machine on labelled descriptions, of which ``score_toxicity`` gives at most ``sample``, half of each label where there are enough.
 
     ``labelled`` has ``feature_id``, ``description`` and ``toxic`` (0 or 1); rows with a null label
-    are left out, null descriptions are empty. The rows are chosen by a hash of feature_id, so any number of
-    rows gives the same kind of sample; one task fits the model on it.
+    are left out, null descriptions are empty. One task fits the model on the rows given.
     """
     rows = labelled.where("toxic IS NOT NULL").select(F.coalesce(F.col("description").cast("string"), F.lit("")).alias("description"), F.col("toxic").cast("int"))
     return _fit(rows.coalesce(1), bits, factors, sample)
@@ -133,7 +132,9 @@ def score_toxicity(features: DataFrame, labels: DataFrame, bits: int = BITS, fac
     is the set of its terms. The machine adds a weight per term and a product of ``factors``
     numbers per pair of terms, so that pairs such as an insult and a group count beyond their
     sum. It is fitted on at most ``sample`` labelled texts (a documented bound, chosen by hash); every text is
-    scored whole. Only the sampled ids (at most ``sample``) and the model (about 2^``bits``
+    scored whole. Where only one label has more than its half of the sample, or both, the bias is shifted by the
+    log-odds of all labels against those of the sample, so that scores do not hang on the number of labels.
+    Of rows with a sampled id that repeats, the least description is learned from. Only the sampled ids (at most ``sample``) and the model (about 2^``bits``
     numbers) are broadcast.
 
     Result, a row per input row: ``feature_id``, ``score`` (0 to 1). Null or empty texts get the
@@ -143,12 +144,19 @@ def score_toxicity(features: DataFrame, labels: DataFrame, bits: int = BITS, fac
     spark = features.sparkSession
     rows = features.select(F.col("feature_id").cast("bigint"), F.col("description").cast("string"))
     marks = labels.where("feature_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("feature_id").cast("bigint").alias("feature_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = dict(marks.groupBy("toxic").count().collect())  # two rows at most
     drawn = None
     for toxic in (0, 1):
         some = marks.where(F.col("toxic") == toxic).orderBy(F.xxhash64("feature_id"), "feature_id").limit(sample // 2)
         drawn = some if drawn is None else drawn.unionByName(some)
-    chosen = rows.join(F.broadcast(drawn), "feature_id").select("feature_id", "description", "toxic")  # at most ``sample`` ids
-    model = spark.sparkContext.broadcast(train_toxicity(chosen, bits, factors, sample))
+    # at most ``sample`` ids, a row for each
+    chosen = rows.join(F.broadcast(drawn), "feature_id").groupBy("feature_id").agg(F.min("description").alias("description"), F.max("toxic").alias("toxic"))
+    fitted = train_toxicity(chosen.repartition(1).sortWithinPartitions("feature_id"), bits, factors, sample)
+    if len(counts) == 2:
+        # the sample may hold the two labels at other shares than the table does
+        held = [min(counts[toxic], sample // 2) for toxic in (0, 1)]
+        fitted["bias"] += float(np.log(counts[1] / counts[0]) - np.log(held[1] / held[0]))
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches):
         known = model.value

@@ -301,6 +301,27 @@ def test_toxicity(spark, features, empty):
     assert score_toxicity(empty, df).count() == 0
 
 
+def test_toxicity_does_not_hang_on_the_number_of_labels(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+
+    def text(toxic):
+        # bad words are commoner in toxic texts, but no certain mark
+        return " ".join([*rng.choice(words, 30), *(f"bad{k}" for k in range(6) if rng.random() < (0.5 if toxic else 0.2))])
+
+    rows = [(i, text(i % 10 == 0), int(i % 10 == 0)) for i in range(1500)]
+    many = [(i + 1500 * k, t, y) for k in range(20) for i, t, y in rows]
+    schema = "feature_id long, description string, toxic int"
+    asked = spark.createDataFrame([(-1 - i, text(i % 10 == 0), int(i % 10 == 0)) for i in range(400)], schema)
+    got = []
+    for labelled in (rows, many):
+        df = spark.createDataFrame(labelled, schema)
+        scored = rows_of(score_toxicity(df.unionByName(asked), df, sample=3000).where("feature_id < 0"))
+        got.append(np.array([r["score"] for r in sorted(scored, key=lambda r: r["feature_id"])]))
+    means, flagged = [x.mean() for x in got], [(x >= 0.5).mean() for x in got]
+    assert abs(means[0] - means[1]) < 0.04 and abs(flagged[0] - flagged[1]) < 0.05
+
+
 def personal(x):
     def luhn(s):
         d = [int(c) for c in s if c.isdigit()][::-1]
