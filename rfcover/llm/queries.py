@@ -15,6 +15,7 @@ from .toxicity import score_toxicity
 from .token_files import read_token_files, write_token_files
 from .personal import personal_spans
 from .quality import quality_rules
+from . import queries_ledgers  # noqa: F401
 from .registry import ORACLE, QUERIES, features_of, query, table  # noqa: F401
 
 
