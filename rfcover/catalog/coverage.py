@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import frame
 from ..functions import link as L
 from ..functions.geo import haversine_m
+from ..functions.link import LinkParams
 from ..operators import coverage as C
 from .registry import PRESET, R, big, classes, fspl, hav, query, r
 
@@ -90,6 +91,23 @@ def knife_edge(spark, d):
     )
 
 
+_MIXED_DBM = "(site_id % 5) * 8e0 - 2"
+_MIXED_MHZ = "(CASE site_id % 3 WHEN 0 THEN 3500e0 WHEN 1 THEN 1800e0 ELSE 700e0 END)"
+
+
+@query("best_server_mixed", f"""
+WITH l AS (SELECT p.point_id AS cell_id, s.site_id, {_MIXED_DBM} - {fspl(hav('s.lat', 's.lng', 'p.lat', 'p.lng'), _MIXED_MHZ)} AS dbm FROM {{fx_points}} p CROSS JOIN {{fx_sites}} s),
+k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dbm DESC, site_id) AS rn FROM l WHERE dbm >= -120)
+SELECT cell_id, max(CASE WHEN rn = 1 THEN site_id END) AS best_site, {R('max(CASE WHEN rn = 1 THEN dbm END)')} AS best_dbm, {R('max(CASE WHEN rn = 2 THEN dbm END)')} AS second_dbm
+FROM k WHERE rn <= 2 GROUP BY cell_id""")
+def best_server_mixed(spark, d):
+    """Best server among sites of unequal power and frequency."""
+    sites = _sites(spark, d).select("site_id", "lat", "lng", F.expr(_MIXED_DBM.replace("e0", "D")).alias("eirp_dbm"), F.expr(_MIXED_MHZ.replace("e0", "D")).alias("freq_mhz"))
+    link = LinkParams(F.col("eirp_dbm"), F.col("freq_mhz"))
+    links = C.score_links(_points(spark, d).select("cell_id", "lat", "lng"), sites, link, nearest=2)
+    return C.best_server(links, link.floor_dbm).select("cell_id", "best_site", r("best_dbm"), r("second_dbm"))
+
+
 @query("score_links", f"""
 WITH {LINKS_SQL}
 SELECT cell_id, site_id, {R('dist', 3)} AS distance_m, {R('dbm')} AS dbm FROM leveled WHERE dbm >= -120""")

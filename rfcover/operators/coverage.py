@@ -11,6 +11,7 @@ from ..functions.link import LinkParams
 from ..functions.numeric import col, dbl
 from .runtime import cut_lineage
 from .spatial_join import near_pairs, nearest_pairs
+from .strongest import strongest_links
 
 DIGITAL_CLIFF_CLASS = 3
 
@@ -40,11 +41,10 @@ def candidate_links(
     """Cell-site pairs that can reach the floor in free space, with distances.
 
     Every other loss is zero or more, so no serving link is lost. ``nearest`` keeps a
-    smaller set that still holds each cell's nearest sites. That is exact only where the
-    level depends on distance alone within an ``on`` group, so it is used for links of
-    plain numbers, and for column values only when ``uniform_reach_m`` is given: the
-    caller's word that all sites of an ``on`` group share their link values and reach no
-    farther than this. Sites of unequal power are never cut to the nearest.
+    smaller set that still holds each cell's strongest sites. For links of plain numbers, and
+    for column values when ``uniform_reach_m`` is given (the caller's word that all sites of an
+    ``on`` group share their link values and reach no farther than this), these are the nearest
+    ones; sites of unequal power or frequency are searched by their strength.
     """
     s = sites.withColumnRenamed("lat", "site_lat").withColumnRenamed("lng", "site_lng")
     reach = _range_of(link)
@@ -55,12 +55,54 @@ def candidate_links(
         return near_pairs(cells, s, reach, on=on, tile_m=tile_m)
     if nearest and uniform_reach_m:
         return nearest_pairs(cells, s, uniform_reach_m, k=nearest, on=on)
+    if nearest:
+        return strongest_links(cells, s, link, k=nearest, on=on)
     radius = F.greatest(
         L.max_range_m(link.eirp_dbm, link.freq_mhz, link.rx_gain_dbi, link.floor_dbm), F.lit(1.0)
     ) * 1.0000001
     return near_pairs(cells, s, radius, on=on, tile_m=tile_m or 50_000.0)
 
 
+def _levels(links: DataFrame, link: LinkParams, elevation, clutter_db: str | None, on) -> DataFrame:
+    """Losses and received level of links, which carry the ground heights of both ends if there is terrain."""
+    from .path import diffraction_db
+
+    if elevation is not None:
+        links = diffraction_db(links, elevation, link, on=on)
+    else:
+        links = links.withColumn("diffraction_db", F.lit(0.0))
+    loss = F.col(clutter_db) if clutter_db else F.lit(float(link.clutter_db))
+    return links.withColumn("clutter_loss_db", loss).withColumn(
+        "dbm",
+        L.received_dbm(
+            "distance_m", link.eirp_dbm, link.freq_mhz, link.rx_gain_dbi,
+            F.col("diffraction_db"), F.col("clutter_loss_db"),
+        ),
+    )
+
+
+def bounded_links(cells: DataFrame, sites: DataFrame, link: LinkParams, score, *, k: int = 2, first: int = 4, on=(), same=()) -> DataFrame:
+    """Scored links that hold the ``k`` best sites of every cell, where ``score`` adds losses of zero or more.
+
+    ``score`` takes links and returns them with ``dbm`` and ``clutter_loss_db``, the part of the loss that
+    depends on the cell alone. The ``first`` strongest sites in free space are scored; the level
+    of the k-th of them bounds the search for what else can matter: sites that
+    reach more than that in free space. So profiles are taken of few links, and no other site
+    can be among the k best.
+    """
+    key = [*on, "cell_id"]
+    s = sites.withColumnRenamed("lat", "site_lat").withColumnRenamed("lng", "site_lng")
+    scored = cut_lineage(score(strongest_links(cells, s, link, k=first, on=on, alike=k, same=same)))
+    clear = F.col("dbm") + F.col("clutter_loss_db")
+    order = Window.partitionBy(*key).orderBy(F.desc("_clear"))
+    ranked = scored.select(*key, clear.alias("_clear")).withColumn("_r", F.row_number().over(order))
+    kth = ranked.where(F.col("_r") == k).select(*key, F.col("_clear").alias("_least"))
+    rest = cut_lineage(cells.join(kth, key, "left"))
+    more = strongest_links(rest, s, link, k=None, on=on, least="_least", alike=k, same=same).drop("_least")
+    more = more.join(scored.select(*key, "site_id"), [*key, "site_id"], "left_anti")
+    return scored.unionByName(score(more))
+
+
 def score_links(
     cells: DataFrame,
     sites: DataFrame,
@@ -77,30 +119,22 @@ def score_links(
 
     ``elevation`` is a :class:`~rfcover.operators.raster.Raster`; without one the
     earth is flat. ``clutter_db`` names a cell column with the loss at the receiver.
+    ``nearest`` asks only for links that hold each cell's so many best sites.
     """
-    from .path import diffraction_db
+    if elevation is None:
+        links = candidate_links(
+            cells, sites, link, nearest=nearest, on=on, tile_m=tile_m, uniform_reach_m=uniform_reach_m
+        )
+        return _levels(links, link, None, clutter_db, on)
+    cells = elevation.sample(cells, "rx_ground_m")
+    sites = elevation.sample(sites, "tx_ground_m")
+    if nearest:
+        def score(links):
+            return _levels(links, link, elevation, clutter_db, on)
 
-    if elevation is not None:
-        cells = elevation.sample(cells, "rx_ground_m")
-        sites = elevation.sample(sites, "tx_ground_m")
-        nearest = None
-    if clutter_db:
-        nearest = None
-    links = candidate_links(
-        cells, sites, link, nearest=nearest, on=on, tile_m=tile_m, uniform_reach_m=uniform_reach_m
-    )
-    if elevation is not None:
-        links = diffraction_db(links, elevation, link, on=on)
-    else:
-        links = links.withColumn("diffraction_db", F.lit(0.0))
-    loss = F.col(clutter_db) if clutter_db else F.lit(float(link.clutter_db))
-    return links.withColumn("clutter_loss_db", loss).withColumn(
-        "dbm",
-        L.received_dbm(
-            "distance_m", link.eirp_dbm, link.freq_mhz, link.rx_gain_dbi,
-            F.col("diffraction_db"), F.col("clutter_loss_db"),
-        ),
-    )
+        return bounded_links(cells, sites, link, score, k=nearest, on=on, same=("tx_height_m",))
+    links = candidate_links(cells, sites, link, on=on, tile_m=tile_m)
+    return _levels(links, link, elevation, clutter_db, on)
 
 
 def best_server(
@@ -141,10 +175,12 @@ def coverage_grid(
     on=(),
     tile_m: float | None = None,
     uniform_reach_m: float | None = None,
+    every_link: bool = False,
 ) -> DataFrame:
     """Class and best server of every cell; unserved cells keep NULLs.
 
-    ``clip_aoi`` names an area column: cells outside it are not scored.
+    ``clip_aoi`` names an area column: cells outside it are not scored. ``every_link`` scores all
+    links in range, which is quicker where a cell has one or two sites anyway.
     """
     scored = cells
     if clip_aoi:
@@ -152,7 +188,7 @@ def coverage_grid(
     need = list(dict.fromkeys([*by, *on, "lat", "lng", *([clutter_db] if clutter_db else [])]))
     links = score_links(
         scored.select(*need), sites, link, elevation=elevation, clutter_db=clutter_db,
-        on=on, nearest=2, tile_m=tile_m, uniform_reach_m=uniform_reach_m,
+        on=on, nearest=None if every_link else 2, tile_m=tile_m, uniform_reach_m=uniform_reach_m,
     )
     best = best_server(links, link.floor_dbm, by=by)
     return cells.join(best, list(by), "left").withColumn(
