@@ -258,10 +258,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, together:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 75) -> DataFrame:
+def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 75, row_key: str | None = None) -> DataFrame:
     """Classes of feature descriptions whose sets of word n-grams have a Jaccard similarity of ``percent`` or more.
 
-    ``features`` has ``feature_id`` and ``description``; other columns are not read. Words are
+    ``features`` has ``feature_id`` and ``description``; other columns are not read. Rows are told apart by
+    ``row_key``, a column of different whole numbers that are the same in every scan; without one rows are numbered and
+    staged once, since numbers given while scanning would change with the cuts of the input. Words are
     runs of non-white-space after lower-casing A-Z; a set holds the distinct ``k``-word runs, or
     all the words as one if there are fewer. Rows with equal sets are one node.
 
@@ -279,7 +281,10 @@ def similar_descriptions(features: DataFrame, k: int = SHINGLE, percent: int = 7
     smallest it gets; repeated rows are each reported; an empty table gives no rows.
     """
     spark = features.sparkSession
-    rows = features.select(F.col("feature_id").cast("bigint"), F.col("description").cast("string"), F.monotonically_increasing_id().alias("row_key"))
+    key = F.monotonically_increasing_id() if row_key is None else F.col(row_key)
+    rows = features.select(F.col("feature_id").cast("bigint"), F.col("description").cast("string"), key.alias("row_key"))
+    if row_key is None:
+        rows = stage(rows, "set-rows")
     keyed = stage(_keep_distinct(rows, k), "set-keys")
     nodes = keyed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row_key").alias("node"), F.min("feature_id").alias("smallest"), *[F.first(c).alias(c) for c in SIGNS])
     nodes = stage(nodes, "set-nodes")
