@@ -92,13 +92,30 @@ def bounded_links(cells: DataFrame, sites: DataFrame, link: LinkParams, score, *
     """
     key = [*on, "cell_id"]
     s = sites.withColumnRenamed("lat", "site_lat").withColumnRenamed("lng", "site_lng")
-    scored = cut_lineage(score(strongest_links(cells, s, link, k=first, on=on, alike=k, same=same)))
+    reach = _range_of(link)
+    if reach is None:
+        near = strongest_links(cells, s, link, k=first, on=on, alike=k, same=same)
+    else:
+        near = nearest_pairs(cells, s, reach, k=first, on=on)
+    free = L.received_dbm("distance_m", link.eirp_dbm, link.freq_mhz)
+    ahead = Window.partitionBy(*key).orderBy(free.desc(), "site_id")
+    near = near.withColumn("_r", F.row_number().over(ahead)).where(F.col("_r") <= first).drop("_r")
+    scored = cut_lineage(score(near))
     clear = F.col("dbm") + F.col("clutter_loss_db")
     order = Window.partitionBy(*key).orderBy(F.desc("_clear"))
     ranked = scored.select(*key, clear.alias("_clear")).withColumn("_r", F.row_number().over(order))
     kth = ranked.where(F.col("_r") == k).select(*key, F.col("_clear").alias("_least"))
-    rest = cut_lineage(cells.join(kth, key, "left"))
-    more = strongest_links(rest, s, link, k=None, on=on, least="_least", alike=k, same=same).drop("_least")
+    rest = cells.join(kth, key, "left")
+    if reach is None:
+        more = strongest_links(cut_lineage(rest), s, link, k=None, on=on, least="_least", alike=k, same=same).drop("_least")
+    else:
+        # equal sites: the bound is a distance, of each cell its own
+        far = F.coalesce(L.max_range_m(link.eirp_dbm, link.freq_mhz, link.rx_gain_dbi, F.col("_least")), F.lit(reach))
+        rest = cut_lineage(rest.withColumn("_far", F.least(far, F.lit(reach)) * 1.0000001).drop("_least"))
+        usual = rest.agg(F.percentile_approx("_far", 0.5).alias("m")).first().m
+        more = near_pairs(
+            s, rest, "_far", left_pos=("site_lat", "site_lng"), right_pos=("lat", "lng"), on=on, tile_m=max(usual or 0.0, 500.0)
+        ).drop("_far")
     more = more.join(scored.select(*key, "site_id"), [*key, "site_id"], "left_anti")
     return scored.unionByName(score(more))
 
