@@ -103,7 +103,7 @@ def _five(x: str) -> str:
 WITH s AS (SELECT radio_id, label, power_w, radio_id % 70 / 10e0 AS kg, default_freq_mhz AS f FROM {{fx_radios}})
 SELECT radio_id, {R(_five('greatest(500e0, least(50000e0, 6000e0 * CASE WHEN f < 30 THEN 4 WHEN f < 300 THEN 1 WHEN f < 1000 THEN 0.6e0 ELSE 0.3e0 END * sqrt(power_w / 5))) / 50000 * 5'))} AS range_score,
  {R(_five('power_w / 20 * 5'))} AS power_score, {R('CASE WHEN kg < 0.5 THEN 5e0 WHEN kg > 5 THEN 1e0 ELSE ' + _five('5 - (kg - 0.5e0) / 4.5e0 * 4') + ' END')} AS weight_score,
- CASE WHEN regexp_matches(label, '{RD.RUGGED}') THEN 5e0 ELSE 3e0 END AS ruggedness_score FROM s""")
+ CASE WHEN regexp_matches(label, '(?i)mil[- _]?(spec|std)|810|ip6[0-9]') THEN 5e0 ELSE 3e0 END AS ruggedness_score FROM s""")
 def radio_scores(spark, d):
     s = frame(spark, d, "fx_radios").withColumn("weight_kg", F.col("radio_id") % 70 / 10)
     return RD.radio_scores(s, "radio_id").select("radio_id", r("range_score"), r("power_score"), r("weight_score"), "ruggedness_score")
@@ -352,10 +352,10 @@ def bom_lines(spark, d):
 LINES_SQL = f"""
 {POWER_SQL.strip()},
 lines AS (
- SELECT mission_id, 'Handheld/manpack batteries' AS item, CAST(sum(bats + 1) AS BIGINT) AS qty FROM pplan WHERE supply = 'battery' GROUP BY mission_id
- UNION ALL SELECT mission_id, 'Solar panel (static site)', count(*) FROM pplan WHERE supply = 'mains' GROUP BY mission_id
- UNION ALL SELECT mission_id, 'Drone relay batteries', CAST(ceil(hours / (drone_wh * 0.8e0 / 150)) AS BIGINT) FROM {{fx_missions}} WHERE drone_relay
- UNION ALL SELECT mission_id, 'ATAK EUD powerbanks', CAST(ceil(ceil(eud_ma * hours / 0.65e0) / {_bank('ceil(eud_ma * hours / 0.65e0)')}) AS BIGINT) FROM {{fx_missions}})"""
+ SELECT mission_id, '{PW.BILL_ITEMS['battery']}' AS item, CAST(sum(bats + 1) AS BIGINT) AS qty FROM pplan WHERE supply = 'battery' GROUP BY mission_id
+ UNION ALL SELECT mission_id, '{PW.BILL_ITEMS['panel']}', count(*) FROM pplan WHERE supply = 'mains' GROUP BY mission_id
+ UNION ALL SELECT mission_id, '{PW.BILL_ITEMS['drone']}', CAST(ceil(hours / (drone_wh * 0.8e0 / 150)) AS BIGINT) FROM {{fx_missions}} WHERE drone_relay
+ UNION ALL SELECT mission_id, '{PW.BILL_ITEMS['bank']}', CAST(ceil(ceil(eud_ma * hours / 0.65e0) / {_bank('ceil(eud_ma * hours / 0.65e0)')}) AS BIGINT) FROM {{fx_missions}})"""
 
 
 @query("network_bom", f"WITH {LINES_SQL} SELECT * FROM lines")
@@ -363,7 +363,7 @@ def network_bom(spark, d):
     return bom_lines(spark, d).select("mission_id", "item", "qty")
 
 
-_PRICES = "SELECT 'Handheld/manpack batteries' AS item, min(p_retailprice) AS price FROM {part} UNION ALL SELECT 'Solar panel (static site)', max(p_retailprice) FROM {part}"
+_PRICES = f"SELECT '{PW.BILL_ITEMS['battery']}' AS item, min(p_retailprice) AS price FROM {{part}} UNION ALL SELECT '{PW.BILL_ITEMS['panel']}', max(p_retailprice) FROM {{part}}"
 
 
 def bom(spark, d):

@@ -42,8 +42,8 @@ def test_capacity(spark):
     t = spark.createDataFrame([("a", 2, 2, 2.0, 10.0), ("b", 2, 0, 4.0, 20.0), ("c", 2, 100, 6.0, 30.0), ("d", 2, 2500, 60.0, 60.0)],
                               "team string, timeslots int, users int, calls_per_user_hour double, avg_call_sec double")
     rows = {r.team: r for r in P.capacity_plan(t).collect()}
-    assert rows["a"].meets_target and rows["a"].recommendation.startswith("Meets target")
-    assert rows["b"].recommendation.startswith("No offered traffic")
+    assert rows["a"].meets_target and rows["a"].recommendation.startswith("Enough")
+    assert rows["b"].recommendation.startswith("Nothing to carry")
     assert not rows["c"].meets_target and rows["c"].needed_slots > 2
     need = rows["d"].needed_slots
     assert value(spark, P.erlang_b(F.lit(need), F.lit(2500.0))) <= 0.02 < value(spark, P.erlang_b(F.lit(need - 1), F.lit(2500.0)))
