@@ -112,3 +112,19 @@ def test_grid_reference_round_trip(spark):
         assert r.p.lat == pytest.approx(r.lat, abs=2e-5) and r.p.lng == pytest.approx(r.lng, abs=6e-5), r.m
     u = spark.createDataFrame([(52.3676, 4.9041)], "lat double, lng double").select(X.to_utm("lat", "lng").alias("u")).first().u
     assert (u.zone, u.band) == (31, "U") and u.easting == pytest.approx(629657, abs=300)
+
+
+def test_coordinate_forms(spark):
+    """Forms that are read, with their name, and near misses that are not."""
+    from rfcover.functions import coords as X
+
+    good = {
+        "52.1, 4.5": "latlng", "-52.1,-4.5": "latlng", "52.1 ° s , -4.5 ° w": "latlng", "52.1N 4.5W": "latlng",
+        "31U DQ 48251 11932": "mgrs", "31u dq 48 25 11 93": "mgrs", "31 u 448251.5 5411932.25": "utm",
+        "52°30'15.5\"N, 4°20'10\"W": "dms", "4:20:10E,52:30:15N": "dms", "52 30 N 4 20 E": "dms",
+    }
+    bad = ["100.5, 20", "052.1 4", "31U IQ 12 34", "31U DW 12 34", "31U DQ 123", "52.5°30'15\"N 4°20'10\"E", "52°130'15\"N 4°20'10\"E", "10-20", "5 N 6 N", "N52.1 E4.5", "1 2 3", "", "camp 7"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string")
+    got = {r.t: r.p for r in df.select("t", X.parse_coordinate("t").alias("p")).collect()}
+    assert {t: p and p.fmt for t, p in got.items()} == {**good, **dict.fromkeys(bad)}
+    assert got["52.1 ° s , -4.5 ° w"].lat == -52.1 and got["52.1 ° s , -4.5 ° w"].lng == -4.5
