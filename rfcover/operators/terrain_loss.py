@@ -1,15 +1,15 @@
 """Path loss over terrain by ITU-R P.1812, as a batch job over a sample table.
 
-The public recommendation's terms are written as three grouped passes over the samples
-(horizons, smooth surface and Bullington extrema; the same on the smooth profile; then
-scalars per link). Ducting is left out, as in the source material.
+A link's profile is one array. The public recommendation's terms are two passes over it
+(horizons, smooth surface and Bullington extrema; the same on the smooth profile), then
+scalars per link. Ducting is left out, as in the source material.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.link import knife_edge_db
@@ -110,84 +110,121 @@ def terminal_clutter_db(f_ghz, clutter_m, height_m) -> Column:
     return F.when((dbl(clutter_m) > 0) & (rise > 0), F.greatest(F.lit(0.0), knife_edge_db(v) - 6.03)).otherwise(0.0)
 
 
+SAMPLE = "i", "dist_m", "terrain_m", "clutter_m"
+LINK = "freq_mhz", "tx_height_m", "rx_height_m", "lat_deg"
+
+
+def profile_arrays(profiles: DataFrame, by=("link_id",), keep=LINK) -> DataFrame:
+    """One row per link: ``keep`` and ``samples``, its profile from end to end as one array.
+
+    This is the only shuffle of samples; a profile has as many as its link has parts.
+    """
+    one = F.struct("i", (F.col("dist_m") / 1000).alias("d"), F.col("terrain_m").alias("h"), F.coalesce("clutter_m", F.lit(0.0)).alias("c"))
+    return profiles.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("samples"), *[F.first(c).alias(c) for c in keep])
+
+
 def path_loss_p1812(
     profiles: DataFrame, *, p: float = 50.0, p_loc: float = 50.0, polarisation: str = "v", sea_frac: float = 0.0,
-    sigma_loc: float = 5.5, by=("link_id",),
+    sigma_loc: float = 5.5, by=("link_id",), n_0: float | None = None, delta_n: float | None = None,
 ) -> DataFrame:
     """Basic transmission loss per link: by columns, loss_db and its parts.
 
-    Profiles hold, per sample: the ``by`` columns, i (0..n), n, dist_m, terrain_m,
+    Profiles hold, per sample: the ``by`` columns, i (0..n), dist_m, terrain_m,
     clutter_m, and per link freq_mhz, tx_height_m, rx_height_m, lat_deg. Both ends are
     included; clutter at the ends counts only as terminal loss. Frequencies outside
-    30..6000 MHz give a NULL loss.
+    30..6000 MHz give a NULL loss. ``n_0`` and ``delta_n`` stand for the refractivity of the latitude.
+    """
+    out = link_loss_p1812(
+        profile_arrays(profiles, by), by, p=p, p_loc=p_loc, polarisation=polarisation, sea_frac=sea_frac, sigma_loc=sigma_loc, n_0=n_0, delta_n=delta_n
+    )
+    return out.select(*by, *PARTS)
+
+
+PARTS = "loss_db", "fspl_db", "diffraction_db", "troposcatter_db", "clutter_tx_db", "clutter_rx_db", "beta0", "theta_mrad", "field_strength_dbuv"
+
+
+def link_loss_p1812(
+    links: DataFrame, by, *, p: float = 50.0, p_loc: float = 50.0, polarisation: str = "v", sea_frac: float = 0.0, sigma_loc: float = 5.5,
+    n_0: float | None = None, delta_n: float | None = None,
+) -> DataFrame:
+    """Add the columns ``PARTS`` to links that carry their ``samples`` (see :func:`profile_arrays`).
+
+    ``by`` are the links' keys. Two passes over the samples, one over the profile and one over the
+    smooth earth between the effective heights, give all sums and extrema. Samples are
+    unfolded where their array lies, so they are not shuffled again, and what is joined are links.
+    ``field_strength_dbuv`` is that of 1 kW radiated.
     """
     by = list(by)
+    own = links.columns
     pp, pl, w = min(max(p, 1.0), 50.0), min(max(p_loc, 1.0), 99.0), min(max(sea_frac, 0.0), 1.0)
-    last = F.col("i") == F.col("n")
-    inner = (F.col("i") > 0) & ~last
-    s = profiles.withColumn("d", F.col("dist_m") / 1000).withColumn("h", F.col("terrain_m"))
-    s = s.withColumn("g", F.col("h") + F.when(inner, F.coalesce("clutter_m", F.lit(0.0))).otherwise(0.0))
-    win = Window.partitionBy(*by).orderBy("i")
-    s = s.withColumn("d0", F.lag("d").over(win)).withColumn("h0", F.lag("h").over(win))
-    ends = s.groupBy(*by).agg(
-        F.max("d").alias("d_km"), F.min_by("h", "i").alias("h_first"), F.max_by("h", "i").alias("h_last"),
-        F.min_by("clutter_m", "i").alias("c_first"), F.max_by("clutter_m", "i").alias("c_last"),
-        *[F.first(c).alias(c) for c in ("freq_mhz", "tx_height_m", "rx_height_m", "lat_deg")],
-    )
     lat = F.abs("lat_deg")
     d_n = F.lit(CLIMATES[2][1])
-    n_0 = F.lit(CLIMATES[2][2])
-    for limit, dn, n0 in (CLIMATES[1], CLIMATES[0]):
-        d_n, n_0 = F.when(lat < limit, dn).otherwise(d_n), F.when(lat < limit, n0).otherwise(n_0)
-    ends = (
-        ends.withColumn("hts", F.col("h_first") + F.col("tx_height_m")).withColumn("hrs", F.col("h_last") + F.col("rx_height_m"))
-        .withColumn("f_ghz", F.col("freq_mhz") / 1000).withColumn("lam", F.lit(0.2998) / F.col("f_ghz"))
-        .withColumn("n0", n_0).withColumn("ae", F.lit(EARTH_KM * 157) / (F.lit(157.0) - d_n))
-        .withColumn("ab", F.lit(EARTH_KM * 3)).withColumn("sea_frac", F.lit(w))
-    )
+    n0 = F.lit(CLIMATES[2][2])
+    for limit, dn, refraction in (CLIMATES[1], CLIMATES[0]):
+        d_n, n0 = F.when(lat < limit, dn).otherwise(d_n), F.when(lat < limit, refraction).otherwise(n0)
+    d_n = d_n if delta_n is None else F.lit(float(delta_n))
+    n0 = n0 if n_0 is None else F.lit(float(n_0))
+    first, last = F.get("samples", F.lit(0)), F.element_at("samples", -1)
+    x = links.withColumns({
+        "d_km": last["d"], "h_first": first["h"], "h_last": last["h"], "c_first": first["c"], "c_last": last["c"],
+        "f_ghz": F.col("freq_mhz") / 1000, "n0": n0, "ae": F.lit(EARTH_KM * 157) / (F.lit(157.0) - d_n), "ab": F.lit(EARTH_KM * 3), "sea_frac": F.lit(w),
+    })
+    x = x.withColumns({
+        "lam": F.lit(0.2998) / F.col("f_ghz"), "hts": F.col("h_first") + F.col("tx_height_m"), "hrs": F.col("h_last") + F.col("rx_height_m"),
+    })
     radii = ["ae"] if pp >= 50 else ["ae", "ab"]
+    dt, hts, hrs, ae = (F.col(c) for c in ("d_km", "hts", "hrs", "ae"))
 
     def extrema(hts, hrs, g, a):
         """Steepest slopes from both ends and the largest diffraction parameter."""
-        d, dt = F.col("d"), F.col("d_km")
+        d = F.col("d")
         top = g + d * (dt - d) * 500 / F.col(a)
         above = top - (hts * (dt - d) + hrs * d) / dt
         v = above * F.sqrt(dt * 0.002 / (F.col("lam") * d * (dt - d)))
+        inner = F.col("inner")
         return {"st": F.max(F.when(inner, (top - hts) / d)), "sr": F.max(F.when(inner, (top - hrs) / (dt - d))), "v": F.max(F.when(inner, v))}
 
     # Pass 1: trapezoid sums, obstruction heights, horizons, Bullington on the profile.
-    j = s.drop("freq_mhz", "tx_height_m", "rx_height_m", "lat_deg").join(ends, by)
-    d, dt, hts, hrs, g, ae = (F.col(c) for c in ("d", "d_km", "hts", "hrs", "g", "ae"))
-    step = d - F.col("d0")
+    before = lambda k, part: F.get("samples", k - 1)[part]
+    each = F.transform("samples", lambda s, k: F.struct(
+        k.alias("k"), s["d"].alias("d"), s["h"].alias("h"), s["c"].alias("c"), F.when(k > 0, before(k, "d")).alias("d0"), F.when(k > 0, before(k, "h")).alias("h0")
+    ))
+    d, inner = F.col("d"), F.col("inner")
+    j = x.select(*by, *[c for c in ("d_km", "lam", "hts", "hrs", *radii)], F.size("samples").alias("n"), F.inline(each))
+    j = j.withColumn("inner", (F.col("k") > 0) & (F.col("k") < F.col("n") - 1))
+    j = j.withColumn("g", F.col("h") + F.when(inner, F.col("c")).otherwise(0.0))
+    g, step = F.col("g"), d - F.col("d0")
     hh = g - (hts * (dt - d) + hrs * d) / dt
     theta_t = F.atan((g - hts) / (d * 1000) - d / (ae * 2)) * 1000
     theta_r = F.atan((g - hrs) / ((dt - d) * 1000) - (dt - d) / (ae * 2)) * 1000
-    order = -F.col("i")
-    first = [F.first(c).alias(c) for c in ends.columns if c not in by]
-    ext = [v.alias(f"a_{k}_{a}") for a in radii for k, v in extrema(hts, hrs, g, a).items()]
+    order = -F.col("k")
     one = j.groupBy(*by).agg(
-        *first, *ext,
+        *[v.alias(f"a_{k}_{a}") for a in radii for k, v in extrema(hts, hrs, g, a).items()],
         F.sum(step * (F.col("h") + F.col("h0"))).alias("v1"),
         F.sum(step * (F.col("h") * (d * 2 + F.col("d0")) + F.col("h0") * (d + F.col("d0") * 2))).alias("v2"),
         F.max(F.when(inner, hh)).alias("hobs"), F.max(F.when(inner, hh / d)).alias("aobt"), F.max(F.when(inner, hh / (dt - d))).alias("aobr"),
-        F.max(F.when(inner, F.struct(theta_t.alias("v"), order.alias("o"), d.alias("d")))).alias("tt"),
-        F.max(F.when(inner, F.struct(theta_r.alias("v"), order.alias("o"), (dt - d).alias("d")))).alias("tr"),
+        F.max(F.when(inner, F.struct(theta_t.alias("v"), order.alias("o"), d.alias("d")))).alias("_tt"),
+        F.max(F.when(inner, F.struct(theta_r.alias("v"), order.alias("o"), (dt - d).alias("d")))).alias("_tr"),
     )
+    x = x.join(one, by).withColumns({k: F.col(f"_{v[:2]}.{'d' if v[2:] else 'v'}") for k, v in ((n, n) for n in ("tt", "ttd", "tr", "trd"))}).drop("_tt", "_tr")
     hst, hsr = (F.col("v1") * 2 * dt - F.col("v2")) / square(dt), (F.col("v2") - F.col("v1") * dt) / square(dt)
     both = F.col("aobt") + F.col("aobr")
     cut = F.when(F.col("hobs") > 0, F.col("hobs")).otherwise(0.0)
-    one = one.withColumn("hst", hst).withColumn("hsr", hsr)
-    one = one.withColumn("hts2", hts - F.least(F.col("hst") - F.when(cut > 0, cut * F.col("aobt") / both).otherwise(0.0), F.col("h_first")))
-    one = one.withColumn("hrs2", hrs - F.least(F.col("hsr") - F.when(cut > 0, cut * F.col("aobr") / both).otherwise(0.0), F.col("h_last")))
+    x = x.withColumns({"hst": hst, "hsr": hsr})
+    x = x.withColumns({
+        "hts2": hts - F.least(F.col("hst") - F.when(cut > 0, cut * F.col("aobt") / both).otherwise(0.0), F.col("h_first")),
+        "hrs2": hrs - F.least(F.col("hsr") - F.when(cut > 0, cut * F.col("aobr") / both).otherwise(0.0), F.col("h_last")),
+    })
 
-    # Pass 2: Bullington over the flat profile with the effective heights.
-    flat = s.select(*by, "i", "n", "d").join(one.select(*by, "d_km", "lam", *radii, "hts2", "hrs2"), by)
+    # Pass 2: Bullington over the smooth earth with the effective heights.
+    flat = x.select(*by, "d_km", "lam", *radii, "hts2", "hrs2", F.size("samples").alias("n"), F.posexplode("samples.d").alias("k", "d"))
+    flat = flat.withColumn("inner", (F.col("k") > 0) & (F.col("k") < F.col("n") - 1))
     two = flat.groupBy(*by).agg(
         *[v.alias(f"s_{k}_{a}") for a in radii for k, v in extrema(F.col("hts2"), F.col("hrs2"), F.lit(0.0), a).items()]
     )
-    x = one.join(two, by)
+    x = x.join(two, by)
 
-    # Pass 3: scalars.
+    # what follows needs no samples
     lam = F.col("lam")
     for a in radii:
         x = _spherical(x, f"sph_{a}", a, polarisation)
@@ -204,11 +241,11 @@ def path_loss_p1812(
     td = F.atan((hrs - hts) / (dt * 1000) - dt / (ae * 2)) * 1000
     rd = F.atan((hts - hrs) / (dt * 1000) - dt / (ae * 2)) * 1000
     x = x.withColumn("_td", td).withColumn("_rd", rd)
-    los = F.coalesce(F.col("tt.v") < F.col("_td"), F.lit(True))
+    los = F.coalesce(F.col("tt") < F.col("_td"), F.lit(True))
     x = x.withColumn("_los", los)
-    theta = dt * 1000 / ae + F.when(F.col("_los"), F.col("_td")).otherwise(F.col("tt.v")) + F.when(F.col("tr.v") >= F.col("_rd"), F.col("tr.v")).otherwise(F.col("_rd"))
+    theta = dt * 1000 / ae + F.when(F.col("_los"), F.col("_td")).otherwise(F.col("tt")) + F.when(F.col("tr") >= F.col("_rd"), F.col("tr")).otherwise(F.col("_rd"))
     x = x.withColumn("theta_mrad", theta)
-    reach = F.when(F.col("_los"), dt).otherwise(F.col("tt.d") + F.col("tr.d"))
+    reach = F.when(F.col("_los"), dt).otherwise(F.col("ttd") + F.col("trd"))
     efac = (1 - F.exp(reach * -0.1)) * 2.6
     x = x.withColumn("lb0p", F.col("lbfs") + efac * math.log10(pp / 50)).withColumn("lb0b", F.col("lbfs") + efac * F.log10(F.col("beta0") / 50))
     ratio = inverse_normal(F.lit(pp / 100)) / F.nullif(inverse_normal(F.col("beta0") / 100), F.lit(0.0))
@@ -235,7 +272,9 @@ def path_loss_p1812(
     x = x.withColumn("clutter_rx_db", terminal_clutter_db(f, F.coalesce("c_last", F.lit(0.0)), "rx_height_m"))
     where = F.lit(0.0) if pl == 50 else inverse_normal(F.lit(pl / 100)) * -sigma_loc
     loss = F.greatest(F.col("lb0p"), F.col("_lbc") + F.col("clutter_tx_db") + F.col("clutter_rx_db")) + where
-    return x.select(
-        *by, F.when(F.col("freq_mhz").between(30, 6000) & (dt > 0), loss).alias("loss_db"), F.col("lbfs").alias("fspl_db"),
-        ldp.alias("diffraction_db"), "troposcatter_db", "clutter_tx_db", "clutter_rx_db", "beta0", "theta_mrad",
+    known = F.col("freq_mhz").between(30, 6000) & (dt > 0)
+    x = x.select(
+        *own, F.when(known, loss).alias("loss_db"), F.col("lbfs").alias("fspl_db"),
+        ldp.alias("diffraction_db"), "troposcatter_db", "clutter_tx_db", "clutter_rx_db", "beta0", "theta_mrad", F.col("f_ghz").alias("_f"),
     )
+    return x.withColumn("field_strength_dbuv", F.log10("_f") * 20 + 199.36 - F.col("loss_db")).drop("_f")
