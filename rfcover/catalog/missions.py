@@ -10,6 +10,7 @@ from ..operators import coverage as C
 from ..operators import grids
 from ..operators import mission as M
 from ..operators import recommend as RC
+from ..operators.grid_runs import grid_runs
 from ..plans import coverage as PC
 from .coverage import _points, _sites
 from .field import FIT_SQL, TOWER_SQL, _samples, towers
@@ -200,29 +201,26 @@ def combined_plan(spark, d):
 # ---- grid runs ---------------------------------------------------------------------
 
 
-def run_grid(spark, d, max_dim: int = 40):
-    """Coverage over each site's box by all sites, clipped to the site's area."""
+def run_grid(spark, d):
+    """Coverage over each site's box by all sites, clipped to the site's area, on the full grid."""
     a = areas(spark, d).withColumnRenamed("aoi_id", "run_id")
-    cells = PC.box_cells(_runs(spark, d).select("run_id", "box").join(a, "run_id"), max_dim)
-    cells = cells.withColumn("inside", G.in_aoi("aoi", "lng", "lat"))
-    return C.coverage_grid(
-        cells, _sites(spark, d).select("site_id", "lat", "lng"), PRESET, clip_aoi="aoi", by=("run_id", "cell_id")
-    ).drop("aoi")
+    runs = _runs(spark, d).select("run_id", "box").join(a, "run_id")
+    return grid_runs(runs, _sites(spark, d), PRESET, clip_aoi="aoi")
 
 
 RUN_GRID_SQL = f"""
-{BOXES_SQL.strip()}, {GRID_DIMS_SQL.strip()}, n AS (SELECT *, {dims_sql(40, 8)} FROM dims),
-cells AS (SELECT box_id AS run_id, r * CAST(cols AS BIGINT) + c AS cell_id, r, c, (east - west) / cols AS cell_w, (north - south) / rows AS cell_h,
+{BOXES_SQL.strip()}, {GRID_DIMS_SQL.strip()}, n AS (SELECT *, {dims_sql(220, 8)} FROM dims),
+cells AS MATERIALIZED (SELECT box_id AS run_id, r * CAST(cols AS BIGINT) + c AS cell_id, r, c, (east - west) / cols AS cell_w, (north - south) / rows AS cell_h,
   north - (r + 0.5e0) / rows * (north - south) AS lat, west + (c + 0.5e0) / cols * (east - west) AS lng
  FROM n, unnest(range(0, CAST(rows AS BIGINT))) AS a(r), unnest(range(0, CAST(cols AS BIGINT))) AS b(c)),
 {EDGES_SQL.strip()},
-hits AS (SELECT g.run_id, g.cell_id, count(*) AS n FROM cells g JOIN edges e ON e.aoi_id = g.run_id AND (e.y1 > g.lat) <> (e.y2 > g.lat)
+hits AS MATERIALIZED (SELECT g.run_id, g.cell_id, count(*) AS n FROM cells g JOIN edges e ON e.aoi_id = g.run_id AND (e.y1 > g.lat) <> (e.y2 > g.lat)
   AND g.lng < e.x1 + (e.x2 - e.x1) * (g.lat - e.y1) / (e.y2 - e.y1) GROUP BY ALL),
-ins AS (SELECT run_id, cell_id FROM hits WHERE n % 2 = 1 UNION ALL SELECT g.run_id, g.cell_id FROM cells g JOIN {{fx_areas}} a ON a.aoi_id = g.run_id AND a.type = 'radius'
+ins AS MATERIALIZED (SELECT run_id, cell_id FROM hits WHERE n % 2 = 1 UNION ALL SELECT g.run_id, g.cell_id FROM cells g JOIN {{fx_areas}} a ON a.aoi_id = g.run_id AND a.type = 'radius'
   AND {hav('a.center_lat', 'a.center_lng', 'g.lat', 'g.lng')} <= a.radius_m),
-lk AS (SELECT run_id, cell_id, site_id, 20e0 - {fspl(hav('s.lat', 's.lng', 'g.lat', 'g.lng'), '3500e0')} AS dbm FROM cells g JOIN ins USING (run_id, cell_id) JOIN {{fx_sites}} s ON abs(s.lat - g.lat) < 0.7e0),
-bst AS (SELECT run_id, cell_id, max(dbm) AS dbm, arg_max(site_id, dbm) AS best_site FROM lk WHERE dbm >= -120 GROUP BY ALL),
-rgrid AS (SELECT c.*, i.cell_id IS NOT NULL AS inside, best_site, dbm, {classes('dbm')} AS cls FROM cells c LEFT JOIN ins i USING (run_id, cell_id) LEFT JOIN bst USING (run_id, cell_id))"""
+lk AS MATERIALIZED (SELECT run_id, cell_id, site_id, 20e0 - {fspl(hav('s.lat', 's.lng', 'g.lat', 'g.lng'), '3500e0')} AS dbm FROM cells g JOIN ins USING (run_id, cell_id) JOIN {{fx_sites}} s ON abs(s.lat - g.lat) < 0.7e0),
+bst AS MATERIALIZED (SELECT run_id, cell_id, max(dbm) AS dbm, arg_max(site_id, dbm) AS best_site FROM lk WHERE dbm >= -120 GROUP BY ALL),
+rgrid AS MATERIALIZED (SELECT c.*, i.cell_id IS NOT NULL AS inside, best_site, dbm, {classes('dbm')} AS cls FROM cells c LEFT JOIN ins i USING (run_id, cell_id) LEFT JOIN bst USING (run_id, cell_id))"""
 
 
 @query("coverage_grid", f"""
@@ -237,15 +235,16 @@ _BRIGHT = "(cls > 1 OR cls IS NULL)"
 
 @query("dead_zones", f"""
 WITH {RUN_GRID_SQL},
-dead AS (SELECT * FROM rgrid WHERE inside AND {_BRIGHT}),
-lab AS (SELECT run_id, cell_id, cell_id AS root FROM dead
- UNION SELECT q.run_id, q.cell_id, l.root FROM lab l JOIN dead p ON p.run_id = l.run_id AND p.cell_id = l.cell_id
-  JOIN dead q ON q.run_id = p.run_id AND abs(q.r - p.r) <= 1 AND abs(q.c - p.c) <= 1 WHERE l.root < q.cell_id),
-fin AS (SELECT run_id, cell_id, min(root) AS root FROM lab GROUP BY ALL),
-z AS (SELECT d.run_id, f.root, count(*) AS cells, avg(d.lng) AS lng, avg(d.lat) AS lat, any_value(cell_h) * 111.32e0 * any_value(cell_w) * 111.32e0 * sum(cos(radians(d.lat))) AS km2
-  FROM fin f JOIN dead d USING (run_id, cell_id) GROUP BY ALL),
+dead AS (SELECT *, c - row_number() OVER (PARTITION BY run_id, r ORDER BY c) AS isle FROM rgrid WHERE inside AND {_BRIGHT}),
+line AS MATERIALIZED (SELECT run_id, r, min(c) AS c0, max(c) AS c1, min(cell_id) AS node, count(*) AS n, sum(lng) AS lng, sum(lat) AS lat, sum(cos(radians(lat))) AS cs,
+  any_value(cell_h) * 111.32e0 * any_value(cell_w) * 111.32e0 AS km2 FROM dead GROUP BY run_id, r, isle),
+touch AS MATERIALIZED (SELECT p.run_id, p.node, q.node AS other FROM line p JOIN line q ON q.run_id = p.run_id AND (q.r = p.r + 1 OR q.r = p.r - 1) AND q.c0 <= p.c1 + 1 AND q.c1 >= p.c0 - 1),
+lab AS (SELECT run_id, node, node AS root FROM line
+ UNION SELECT l.run_id, t.other, l.root FROM lab l JOIN touch t ON t.run_id = l.run_id AND t.node = l.node WHERE l.root < t.other),
+fin AS (SELECT run_id, node, min(root) AS root FROM lab GROUP BY ALL),
+z AS (SELECT run_id, root, sum(n) AS cells, sum(lng) / sum(n) AS lng, sum(lat) / sum(n) AS lat, any_value(km2) * sum(cs) AS km2 FROM fin JOIN line USING (run_id, node) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY km2 DESC, root) AS rank FROM z)
-SELECT run_id, rank, cells, {R('lng', 5)} AS lng, {R('lat', 5)} AS lat, {R('km2', 3)} AS area_km2 FROM k WHERE rank <= 5""", recursive=True)
+SELECT run_id, rank, CAST(cells AS BIGINT) AS cells, {R('lng', 5)} AS lng, {R('lat', 5)} AS lat, {R('km2', 3)} AS area_km2 FROM k WHERE rank <= 5""", recursive=True)
 def dead_zones(spark, d):
     """Zones below class 1, so that every run has some."""
     grid = run_grid(spark, d).where("inside").withColumn("cls", F.when(F.col("cls") > 1, 3).otherwise(F.col("cls")))

@@ -257,9 +257,9 @@ lv AS (SELECT box_id, z, CAST(floor({_tx('west', 'z')}) AS BIGINT) AS x0, CAST(f
   CAST(floor({_ty('north', 'z')}) AS BIGINT) AS y0, CAST(floor({_ty('south', 'z')}) AS BIGINT) AS y1
   FROM boxes CROSS JOIN (VALUES (8), (10), (11), (12), (13)) AS k(z)),
 ok AS (SELECT *, sum((x1 - x0 + 1) * (y1 - y0 + 1)) OVER (PARTITION BY box_id ORDER BY z) AS total FROM lv)
-SELECT box_id, CAST(z AS BIGINT) AS z, x, y FROM ok, unnest(range(x0, x1 + 1)) AS a(x), unnest(range(y0, y1 + 1)) AS b(y) WHERE total <= 150""")
+SELECT box_id, CAST(z AS BIGINT) AS z, x, y FROM ok, unnest(range(x0, x1 + 1)) AS a(x), unnest(range(y0, y1 + 1)) AS b(y) WHERE total <= 600""")
 def tile_cover(spark, d):
-    out = grids.tile_cover(site_boxes(spark, d), [12, 8, 10, 13, 11], 150)
+    out = grids.tile_cover(site_boxes(spark, d), [12, 8, 10, 13, 11], 600)
     return out.select("box_id", big("z"), "x", "y")
 
 
@@ -290,7 +290,7 @@ def pick_zoom(spark, d):
 @query("pixel_window", f"""
 WITH {BOXES_SQL},
 w AS (SELECT box_id, least(1e0, (east - west) / 4e0) AS fx, least(1e0, (north - south) / 2.8e0) AS fy, west, east, south, north FROM boxes),
-k AS (SELECT *, CASE WHEN greatest(500 * fx, 350 * fy) >= 64 THEN 3 WHEN greatest(1000 * fx, 700 * fy) >= 64 THEN 2 WHEN greatest(2000 * fx, 1400 * fy) >= 64 THEN 1 ELSE 0 END AS level FROM w),
+k AS (SELECT *, CASE WHEN greatest(500 * fx, 350 * fy) >= 512 THEN 3 WHEN greatest(1000 * fx, 700 * fy) >= 512 THEN 2 WHEN greatest(2000 * fx, 1400 * fy) >= 512 THEN 1 ELSE 0 END AS level FROM w),
 s AS (SELECT *, 4000 / power(2, level) AS w_px, 2800 / power(2, level) AS h_px FROM k),
 o AS (SELECT *, greatest(0, least(w_px - 1, floor((west - 3.25e0) * (w_px / (7.25e0 - 3.25e0))))) AS x0, greatest(0, least(h_px - 1, floor((53.55e0 - north) * (h_px / (53.55e0 - 50.75e0))))) AS y0 FROM s)
 SELECT box_id, CAST(level AS BIGINT) AS level, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0,
@@ -299,7 +299,7 @@ SELECT box_id, CAST(level AS BIGINT) AS level, CAST(x0 AS BIGINT) AS x0, CAST(y0
 def pixel_window(spark, d):
     data = F.struct(F.lit(3.25).alias("west"), F.lit(50.75).alias("south"), F.lit(7.25).alias("east"), F.lit(53.55).alias("north"))
     levels = F.array(*[F.struct(F.lit(4000 >> k).alias("width"), F.lit(2800 >> k).alias("height")) for k in range(4)])
-    b = site_boxes(spark, d).withColumn("level", G.pick_level(levels, F.col("box"), data, 64))
+    b = site_boxes(spark, d).withColumn("level", G.pick_level(levels, F.col("box"), data, 512))
     lv = F.element_at(levels, F.col("level") + 1)
     b = b.select("box_id", big("level"), G.pixel_window(F.col("box"), data, lv["width"], lv["height"]).alias("w"))
     return b.select("box_id", "level", "w.x0", "w.y0", "w.x1", "w.y1")
@@ -328,11 +328,11 @@ def grid_dims(spark, d):
 
 
 @query("grid_cells", f"""
-WITH {BOXES_SQL}, {GRID_DIMS_SQL}, n AS (SELECT *, {dims_sql(20, 8)} FROM dims)
+WITH {BOXES_SQL}, {GRID_DIMS_SQL}, n AS (SELECT *, {dims_sql(220, 8)} FROM dims)
 SELECT box_id, r AS row, c AS col, {R('north - (r + 0.5e0) / rows * (north - south)', 7)} AS lat, {R('west + (c + 0.5e0) / cols * (east - west)', 7)} AS lng
 FROM n, unnest(range(0, CAST(rows AS BIGINT))) AS a(r), unnest(range(0, CAST(cols AS BIGINT))) AS b(c)""")
 def grid_cells(spark, d):
-    b = site_boxes(spark, d).withColumn("n", G.grid_dims(F.col("box"), 20, 8))
+    b = site_boxes(spark, d).withColumn("n", G.grid_dims(F.col("box"), 220, 8))
     b = b.withColumn("cols", F.col("n.cols")).withColumn("rows", F.col("n.rows"))
     return grids.grid_cells(b).select("box_id", big("row"), big("col"), r("lat", 7), r("lng", 7))
 
