@@ -14,16 +14,28 @@ MEMO_ENTRIES = 600_000
 _WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # White space and separators outside ASCII, and ASCII ones that libraries class differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+# Pieces of printable ASCII and Latin letters, for which this library's own split and lower case
+# agree with the tokenizer's; the parts are those of _WORDS_ONLY.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]|[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte; printable bytes stand for themselves."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Encoder:
     """``encode(texts)`` gives the ids of each text as little-endian 32-bit integers.
 
     The result equals ``Tokenizer.encode`` of the whole text. Where the file's pre-tokenizer
     provably never joins text across a single space or line end, a text is cut there, and each
     piece is encoded once and remembered. Texts with other white space are encoded whole. The
-    memo keeps two generations of at most ``MEMO_ENTRIES`` pieces.
+    memo keeps two generations of at most ``MEMO_ENTRIES`` pieces. Where the file splits words
+    from marks and digits, new pieces of plain letters are split here, and their parts go to the
+    merge model itself, past the tokenizer's own normalizer and split.
     """
 
     def __init__(self, path: str):
@@ -35,6 +47,8 @@ class Encoder:
             config = json.load(f)
         self.added = [t["content"] for t in config["added_tokens"]]
         self.kind, self.lower = self._kind(config), "Lowercase" in json.dumps(config.get("normalizer"))
+        self.tokenize = self.tokenizer.model.tokenize if self._bare(config) else None
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -52,6 +66,33 @@ class Encoder:
                 return "words"
         return "whole"
 
+    def _bare(self, config: dict) -> bool:
+        """Whether parts of words may be given to the merge model as they are."""
+        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if self.kind != "words" or len(steps) != 2 or config["model"]["type"] != "BPE":
+            return False
+        return steps[1]["type"] == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+
+    def _learn_plain(self, new: set[str]) -> set[str]:
+        """Learn the pieces of plain letters, part by part; the other pieces are given back.
+
+        A part by itself is a piece with the same ids, so both share the memo.
+        """
+        memo, other = self.memo, set()
+        for u in new:
+            if not _PLAIN.fullmatch(u):
+                other.add(u)
+                continue
+            ids = []
+            for part in _PARTS.findall(u.lower() if self.lower else u):
+                known = memo.get(part)
+                if known is None:
+                    seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                    known = memo[part] = array("I", [x.id for x in self.tokenize(seen)]).tobytes()
+                ids.append(known)
+            memo[u] = ids[0] if len(ids) == 1 else b"".join(ids)
+        return other
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -73,8 +114,10 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encode pieces; marks after a letter are always split off, so they are added after it."""
+        if self.tokenize:
+            new = self._learn_plain(new)
         lead = " " if self.kind == "spaced" else ""
-        marked = {u: base for u in new if (base := u.rstrip(_MARKS)) != u and base and base[-1].isalpha()}
+        marked = {u: base for u in new if (base := u.rstrip(_MARKS)) != u and base and base[-1].lower().isalpha()}
         todo = list({marked.get(u, u) for u in new}.difference(self.memo))
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
